@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HASH_PREFIX = 4          # 65,536 hash ranges per group
 BUILTIN_ROWS = 2_000_000  # below this the built-in exact percentile is cheap
-SPLITS, STRIDE = 1024, 32
+MOST_SPLITS, STRIDE = 1024, 32
+
+
+def _splits(df: DataFrame) -> int:
+    """Ranges of an order axis: four per shuffle partition, so that ranges outnumber tasks."""
+    return max(STRIDE, min(MOST_SPLITS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def hash_order(keys: Sequence[str], seed: int = 42) -> Column:
@@ -56,12 +61,13 @@ def running_totals(df: DataFrame, order: str, measures: Sequence[str], by: Seque
     """
     groups = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
+    splits = _splits(df)
     if isinstance(base.schema[order].dataType, T.StringType):     # no approximate quantiles for text: cut at hash-chosen values
         chosen = Window.partitionBy(*groups).orderBy(F.xxhash64(order), order)
-        cuts = (base.select(*groups, order).withColumn("_r", F.row_number().over(chosen)).where(F.col("_r") < SPLITS)
+        cuts = (base.select(*groups, order).withColumn("_r", F.row_number().over(chosen)).where(F.col("_r") < splits)
                 .groupBy(*groups).agg(F.array_sort(F.collect_list(order)).alias("_cuts")))
     else:
-        probs = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+        probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
         cuts = base.groupBy(*groups).agg(
             F.array_sort(F.array_distinct(F.percentile_approx(order, probs, F.lit(100_000)))).alias("_cuts"))
     cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda x, i: i % STRIDE == STRIDE - 1))
