@@ -42,15 +42,15 @@ def make_classifier(name: str, classes: int = 2, seed: int = 42, **params):
 def fit_classifier(train: DataFrame, features: Sequence[str], label: str, name: str, seed: int = 42, **params) -> PipelineModel:
     """Label index, feature vector and classifier as one fitted pipeline."""
     classes = train.select(label).distinct().count()
-    indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return Pipeline(stages=[indexer, assembler, make_classifier(name, classes, seed, **params)]).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
-    """Adds prediction as a class value of the training data."""
+    """Adds prediction as a class value of the training data; labels unseen in training need no index here."""
     names = F.array(*[F.lit(v) for v in model.stages[0].labels])
-    scored = model.transform(df)
+    scored = PipelineModel(stages=model.stages[1:]).transform(df)
     value = F.element_at(names, F.col("prediction").cast("int") + 1)
     return scored.withColumn("prediction", value.cast(dict(df.dtypes)[label]))
 

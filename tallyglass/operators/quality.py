@@ -93,7 +93,7 @@ def quality_report(df: DataFrame, expected: Sequence[str], missing_threshold: fl
                    outlier_limit: float = 5.0, numeric: Sequence[str] | None = None) -> DataFrame:
     """check, passed, detail for schema, missing, duplicates, distributions, and the share of passed checks."""
     schema = schema_check(expected, df).select(F.lit("schema").alias("check"), (F.col("status") == "pass").alias("passed"),
-                                               F.concat_ws(";", "missing_columns", "extra_columns").alias("detail"))
+                                               F.concat_ws(";", F.nullif("missing_columns", F.lit("")), F.nullif("extra_columns", F.lit(""))).alias("detail"))
     flagged = F.array_join(F.array_sort(F.collect_list(F.when(F.col("exceeded"), F.col("column")))), ",")
     missing = check_missing(df, missing_threshold).agg(flagged.alias("detail")).select(
         F.lit("missing").alias("check"), (F.col("detail") == "").alias("passed"), "detail")
