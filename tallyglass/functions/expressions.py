@@ -72,12 +72,12 @@ def sample_kurtosis(x: Column) -> Column:
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation over rows with both values; null when either side is constant there.
 
-    Written with sums because the built-in raises on a constant column under ANSI rules.
+    Not the built-in, which raises on a constant column under ANSI rules.  The
+    deviation of equal values is exactly 0 (every update and merge adds 0).
     """
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    spread = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
-    return F.when(spread, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def null_free_floats(df: DataFrame) -> DataFrame:
@@ -114,6 +114,17 @@ def per_column(df: DataFrame, stats: Mapping[str, Mapping[str, Column]], label:
     return union_all(frames)
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """column, distinct_count without nulls.
+
+    One narrow scan per column: several distinct counts in one aggregation
+    would copy every row, all columns wide, once per column into the shuffle.
+    """
+    one_each = [df.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1).alias("_x")).agg(F.count(F.lit(1)).alias("distinct_count")).select(
+        F.lit(c).alias("column"), "distinct_count") for c in cols]
+    return union_all(one_each)
+
+
 def tidy(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "statistic", value: str = "value") -> DataFrame:
     """Wide statistics to (ids, statistic, value) rows, values as double."""
     wide = df.select(*ids, *[F.col(v).cast("double").alias(v) for v in values])

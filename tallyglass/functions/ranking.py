@@ -126,7 +126,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not cols:
         return {}
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    if data.limit(builtin_rows + 1).count() <= builtin_rows:
+    if data.count() <= builtin_rows:
         row = data.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in cols]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
     counts = data.agg(*[F.count(c).alias(c) for c in cols]).first()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyglass.functions.expressions import count_if, union_all
+from tallyglass.functions.expressions import count_if
 
 # Personal-data patterns in the order of detection and masking.
 PII_PATTERNS = {
@@ -46,12 +45,11 @@ def detect_pii(df: DataFrame, key: str, text: str) -> DataFrame:
     The gaps between the matches give the positions; no match leaves the row early.
     """
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    frames = []
-    found = [F.struct(F.lit(k).alias("pii_type"), F.lit(p).alias("_p")) for k, p in PII_PATTERNS.items()]
-    hits = F.filter(F.transform(F.array(*found), lambda s: F.struct(
-        s["pii_type"].alias("pii_type"), F.regexp_extract_all(F.col(text), s["_p"], F.lit(0)).alias("values"),
-        F.split(F.col(text), s["_p"], -1).alias("gaps"))), lambda s: F.size(s["values"]) > 0)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key), F.explode(hits).alias("h")).select(key, "h.*")
+    kinds = F.array(*[F.struct(F.lit(k).alias("pii_type"), F.lit(p).alias("_p")) for k, p in PII_PATTERNS.items()])
+    # Most texts hold no match of most kinds: test first, then extract and split only where it pays.
+    present = F.filter(kinds, lambda s: F.regexp_like(F.col(text), s["_p"]))
+    rows = df.where(F.col(text).isNotNull()).select(key, text, F.explode(present).alias("s"))
+    rows = rows.select(key, "s.pii_type", F.regexp_extract_all(F.col(text), F.col("s._p"), F.lit(0)).alias("values"), F.split(F.col(text), F.col("s._p"), -1).alias("gaps"))
     rows = rows.withColumn("_g", F.transform("gaps", F.length)).withColumn("_m", F.transform("values", F.length))
     rows = rows.select(key, "pii_type", "_g", "_m", F.posexplode("values").alias("_i", "value"))
     start = total(F.slice("_g", 1, F.col("_i") + 1)) + total(F.slice("_m", 1, F.col("_i")))

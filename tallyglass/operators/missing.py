@@ -26,34 +26,38 @@ def missing_patterns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 def missing_correlation(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = SYSTEMATIC_CORRELATION) -> DataFrame:
     """column_a, column_b, correlation of the missing indicators, systematic flag; constant indicators are left out."""
-    pairs = list(combinations(cols or df.columns, 2))
-    flag = lambda c: one(F.col(c).isNull())
-    a, b = F.array(*[F.lit(x) for x, _ in pairs]), F.array(*[F.lit(y) for _, y in pairs])
-    long = per_column(df, {f"{i}": {"correlation": safe_corr(flag(x), flag(y))} for i, (x, y) in enumerate(pairs)}, "pair")
-    i = F.col("pair").cast("int")
-    return long.where(F.col("correlation").isNotNull()).select(
-        a[i].alias("column_a"), b[i].alias("column_b"), "correlation", (F.abs("correlation") > threshold).alias("systematic"))
+    n, x, y, both = (F.col(c).cast("double") for c in ("n", "missing_a", "missing_b", "missing_both"))
+    r = F.try_divide(n * both - x * y, F.sqrt(x * (n - x)) * F.sqrt(y * (n - y)))
+    return _pair_counts(df, cols).select("column_a", "column_b", r.alias("correlation")).where(F.col("correlation").isNotNull()).withColumn(
+        "systematic", F.abs("correlation") > threshold)
+
+
+def _pair_counts(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
+    """column_a, column_b, n, missing_a, missing_b, missing_both.
+
+    The table is reduced to its null patterns first; pairs are counted on those few rows.
+    """
+    names = list(cols or df.columns)
+    flags = [F.col(c).isNull().alias(f"f{i}") for i, c in enumerate(names)]
+    patterns = df.select(*flags).groupBy(*[f"f{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array(*[F.struct(F.lit(names[i]).alias("column_a"), F.lit(names[j]).alias("column_b"), F.col(f"f{i}").alias("a"), F.col(f"f{j}").alias("b"))
+                      for i, j in combinations(range(len(names)), 2)])
+    weigh = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    return patterns.select("n", F.inline(pairs)).groupBy("column_a", "column_b").agg(
+        F.sum("n").alias("n"), weigh(F.col("a")).alias("missing_a"), weigh(F.col("b")).alias("missing_b"), weigh(F.col("a") & F.col("b")).alias("missing_both"))
 
 
 def missing_independence(df: DataFrame, cols: Sequence[str] | None = None, alpha: float = 0.05) -> DataFrame:
     """Pairwise chi-square test of missing indicators: column_a, column_b, chi2, p_value, mechanism."""
-    pairs = list(combinations(cols or df.columns, 2))
-    spark = df.sparkSession
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for i, (x, y) in enumerate(pairs):
-        mx, my = F.col(x).isNull(), F.col(y).isNull()
-        aggregates += [count_if(mx).alias(f"x{i}"), count_if(my).alias(f"y{i}"), count_if(mx & my).alias(f"b{i}")]
-    row = df.agg(*aggregates).first()
     out = []
-    for i, (x, y) in enumerate(pairs):       # one entry per pair of columns
-        n, nx, ny, both = row["n"], row[f"x{i}"], row[f"y{i}"], row[f"b{i}"]
+    for row in _pair_counts(df, cols).collect():       # one row per pair of columns
+        n, nx, ny, both = row["n"], row["missing_a"], row["missing_b"], row["missing_both"]
         cells = nx * ny * (n - nx) * (n - ny)
-        if not cells:
-            continue
-        chi2 = n * (both * n - nx * ny) ** 2 / cells
-        p = chi2_sf(chi2, 1)
-        out.append((x, y, float(chi2), float(p), "MCAR" if p > alpha else "not MCAR"))
-    return spark.createDataFrame(out, "column_a string, column_b string, chi2 double, p_value double, mechanism string")
+        if cells:
+            chi2 = n * (both * n - nx * ny) ** 2 / cells
+            p = chi2_sf(chi2, 1)
+            out.append((row["column_a"], row["column_b"], float(chi2), float(p), "MCAR" if p > alpha else "not MCAR"))
+    return df.sparkSession.createDataFrame(out, "column_a string, column_b string, chi2 double, p_value double, mechanism string")
 
 
 def missing_mechanism(df: DataFrame) -> DataFrame:
@@ -90,23 +94,27 @@ def missing_candidates(df: DataFrame) -> DataFrame:
 
 def imputation_plan(df: DataFrame) -> DataFrame:
     """column, method, value (as text) for columns with nulls: median when |skew| > 1, mean otherwise, mode for text."""
-    numbers, texts = numeric_columns(df), text_columns(df)
+    present = df.agg(*[F.count(c).alias(f"c{i}") for i, c in enumerate(df.columns)], F.count(F.lit(1)).alias("n")).first()
+    holed = [c for i, c in enumerate(df.columns) if present[f"c{i}"] < present["n"]]       # only these need statistics
+    numbers, texts = [c for c in numeric_columns(df) if c in holed], [c for c in text_columns(df) if c in holed]
     medians = exact_quantiles(df, numbers, [0.5])
-    cols = [c for c in df.columns if c in numbers + texts]
+    cols = numbers + texts
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, method string, value string")
     stats = {}
     for c in cols:
         if c in numbers:
             skewed = F.abs(sample_skewness(dbl(c))) > 1
             median = F.lit(medians[c][0]).cast("double")
-            stats[c] = {"nulls": count_if(F.col(c).isNull()), "method": F.when(skewed, "median").otherwise("mean"),
+            stats[c] = {"method": F.when(skewed, "median").otherwise("mean"),
                         "value": F.round(F.when(skewed, F.max(median)).otherwise(F.avg(dbl(c))), 3)}
         else:
-            stats[c] = {"nulls": count_if(F.col(c).isNull()), "method": F.max(F.lit("mode")), "value": F.max(F.lit(None).cast("double"))}
+            stats[c] = {"method": F.max(F.lit("mode")), "value": F.max(F.lit(None).cast("double"))}
     plan = per_column(df, stats)
     if not texts:
-        return plan.where("nulls > 0").select("column", "method", F.col("value").cast("string").alias("value"))
+        return plan.select("column", "method", F.col("value").cast("string").alias("value"))
     best = F.broadcast(modes(df, texts).select("column", "mode"))     # one row per text column
-    return plan.where("nulls > 0").join(best, "column", "left").select(
+    return plan.join(best, "column", "left").select(
         "column", "method", F.coalesce(F.col("mode"), F.col("value").cast("string")).alias("value"))
 
 

@@ -26,6 +26,7 @@ MAX_PIVOTS = 256
 BLOCK_ROWS = 20_000
 CHUNK_DOUBLES = 4_000_000
 SMALL_DONOR_BYTES = 32_000_000
+SMALL_QUERY_ROWS = 10_000_000
 
 
 def as_vector(*columns: str) -> Column:
@@ -62,7 +63,12 @@ def _near_broadcast(rows: DataFrame, donors: DataFrame, key_type: str, need: int
         vectors, keys = groups.setdefault(r["g"], ([], []))
         vectors.append(r["vec"])
         keys.append(r["keys"])
-    shared = rows.sparkSession.sparkContext.broadcast({g: (np.array(v, dtype=float), k) for g, (v, k) in groups.items()})
+    spark = rows.sparkSession
+    n = rows.count()
+    if n <= SMALL_QUERY_ROWS:      # few rows come in few partitions: spread the distance work over the cores
+        work = n * sum(len(v) * len(v[0]) for v, _ in groups.values()) / 20_000_000
+        rows = rows.repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, math.ceil(work))))
+    shared = spark.sparkContext.broadcast({g: (np.array(v, dtype=float), k) for g, (v, k) in groups.items()})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

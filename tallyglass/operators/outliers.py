@@ -127,9 +127,14 @@ def isolation_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str], tr
     cols = list(cols)
     complete = df.dropna(subset=cols)
     pool = seeded_sample(complete.select(*dict.fromkeys([*keys, *cols])), trees * sample, keys, seed)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_h", F.xxhash64(*[F.col(k) for k in keys], F.col("tree"), F.lit(seed)))
-    chosen = spread.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys))).where(F.col("_r") <= sample)
+    pool = pool.select(*dict.fromkeys([*keys, *cols])).persist()
+    if pool.count() == trees * sample:       # enough rows for trees of their own: deal them round in hash order
+        dealt = Window.orderBy("_h", *keys)  # trees x sample rows
+        chosen = pool.withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))).withColumn("tree", (F.row_number().over(dealt) % trees).cast("int"))
+    else:
+        spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
+            "_h", F.xxhash64(*[F.col(k) for k in keys], F.col("tree"), F.lit(seed)))
+        chosen = spread.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys))).where(F.col("_r") <= sample)
     depth = math.ceil(math.log2(max(2, sample)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyglass.functions.expressions import (
-    atomic_columns, count_if, dbl, long_values, numeric_columns, one, per_column, ratio, safe_corr, sample_kurtosis,
+    atomic_columns, count_if, dbl, distinct_counts, long_values, numeric_columns, one, per_column, ratio, safe_corr, sample_kurtosis,
     sample_skewness, text_columns, tidy, union_all)
 from tallyglass.functions.ranking import exact_quantiles, grouped_quantiles
 from tallyglass.sources.readers import seeded_sample
@@ -118,9 +118,13 @@ def value_ranges(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def uniqueness(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """column, distinct_count (nulls ignored), uniqueness_ratio."""
-    distinct = (lambda c: F.approx_count_distinct(F.col(c), 0.01)) if approximate else (lambda c: F.count_distinct(F.col(c)))
-    return per_column(df, {c: {"distinct_count": distinct(c).cast("long"), "uniqueness_ratio": ratio(distinct(c), F.count(F.lit(1)))}
-                           for c in cols or atomic_columns(df)})
+    cols = list(cols or atomic_columns(df))
+    if approximate:
+        return per_column(df, {c: {"distinct_count": F.approx_count_distinct(F.col(c), 0.01).cast("long"),
+                                   "uniqueness_ratio": ratio(F.approx_count_distinct(F.col(c), 0.01), F.count(F.lit(1)))} for c in cols})
+    n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_p", F.lit(1))
+    return distinct_counts(df, cols).withColumn("_p", F.lit(1)).join(F.broadcast(n), "_p").select(
+        "column", "distinct_count", ratio(F.col("distinct_count"), F.col("_n")).alias("uniqueness_ratio"))
 
 
 def value_counts(df: DataFrame, col: str, k: int | None = None) -> DataFrame:

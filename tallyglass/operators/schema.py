@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyglass.functions.expressions import (
-    atomic_columns, count_if, dbl, logical_type, long_values, numeric_columns, one, per_column, ratio, text_columns, union_all)
+    atomic_columns, count_if, dbl, distinct_counts, logical_type, long_values, numeric_columns, one, per_column, ratio, text_columns, union_all)
 from tallyglass.sources.readers import seeded_sample
 
 # Patterns in the order in which the first match wins, each with its share > 0.8 rule.
@@ -52,22 +52,19 @@ def infer_types(df: DataFrame, review_below: float = 0.8, cols: Sequence[str] |
     """
     types = {f.name: f.dataType for f in df.schema}
     native = {"number": "numeric", "boolean": "boolean", "datetime": "datetime"}
-    stats = {}
-    for c in cols or atomic_columns(df):
-        filled = F.count(c)
-        distinct = F.count_distinct(F.col(c))
-        if isinstance(types[c], T.StringType):
-            as_time, as_number = F.count(parse_time(F.col(c))), F.count(F.expr(f"try_cast(`{c}` as double)"))
-            kind = (F.when(filled == 0, "unknown").when(as_time == filled, "datetime").when(as_number == filled, "numeric")
-                    .when(ratio(distinct, filled) < 0.1, "categorical").otherwise("string"))
-        else:
-            kind = F.when(filled == 0, "unknown").otherwise(native[logical_type(types[c])])
-        stats[c] = {"inferred_type": kind, "is_text": F.max(F.lit(isinstance(types[c], T.StringType))),
-                    "nullable": count_if(F.col(c).isNull()) > 0, "distinct_count": distinct.cast("long")}
-    kind = F.col("inferred_type")
-    confidence = (F.when(kind == "unknown", 0.0).when(~F.col("is_text"), 1.0).when(kind.isin("datetime", "categorical"), 0.9)
+    cols, stats = list(cols or atomic_columns(df)), {}
+    for c in cols:
+        text = isinstance(types[c], T.StringType)
+        stats[c] = {"filled": F.count(c), "nullable": count_if(F.col(c).isNull()) > 0, "times": F.count(parse_time(F.col(c))) if text else F.max(F.lit(-1).cast("long")),
+                    "numbers": F.count(F.expr(f"try_cast(`{c}` as double)")) if text else F.max(F.lit(-1).cast("long")),
+                    "native": F.max(F.lit(None if text else native[logical_type(types[c])]).cast("string"))}
+    filled, kind = F.col("filled"), F.col("inferred_type")
+    inferred = (F.when(filled == 0, "unknown").when(F.col("native").isNotNull(), F.col("native")).when(F.col("times") == filled, "datetime")
+                .when(F.col("numbers") == filled, "numeric").when(ratio(F.col("distinct_count"), filled) < 0.1, "categorical").otherwise("string"))
+    confidence = (F.when(kind == "unknown", 0.0).when(F.col("native").isNotNull(), 1.0).when(kind.isin("datetime", "categorical"), 0.9)
                   .when(kind == "numeric", 0.8).otherwise(0.7))
-    return per_column(df, stats).withColumn("confidence", confidence).select(
+    out = per_column(df, stats).join(F.broadcast(distinct_counts(df, cols)), "column", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    return out.withColumn("inferred_type", inferred).withColumn("confidence", confidence).select(
         "column", "inferred_type", "confidence", (F.col("confidence") < review_below).alias("needs_review"), "nullable", "distinct_count")
 
 
@@ -91,18 +88,30 @@ def precision_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return per_column(df, stats)
 
 
+def _id_rule(share: Column, hint: Column, threshold: float) -> Column:
+    return F.coalesce((share >= threshold) & (hint | (share >= UNIQUE_RATIO)), F.lit(False))
+
+
+def _id_hint(df: DataFrame, c: str) -> Column:
+    """Sequential 1..n or an id name."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.NumericType):
+        return ((F.min(c) == 1) & (F.max(c) == F.count(F.lit(1)))) | F.lit(c.lower() in NUMBER_ID_NAMES)
+    return F.max(F.lit(isinstance(kind, T.StringType) and c.lower() in STRING_ID_NAMES))
+
+
+def _counted(df: DataFrame, cols: Sequence[str], stats: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """The per-column statistics with n_rows and distinct_count added."""
+    wide = per_column(df, {c: {**stats[c], "n_rows": F.count(F.lit(1))} for c in cols})
+    return wide.join(F.broadcast(distinct_counts(df, cols)), "column")       # one row per column
+
+
 def id_columns(df: DataFrame, threshold: float = ID_RATIO, cols: Sequence[str] | None = None) -> DataFrame:
     """column, uniqueness_ratio, is_id: nearly unique and sequential 1..n, id-named, or at least 95 % unique."""
-    types, stats = {f.name: f.dataType for f in df.schema}, {}
-    for c in cols or atomic_columns(df):
-        n = F.count(F.lit(1))
-        share = ratio(F.count_distinct(F.col(c)), n)
-        if isinstance(types[c], T.NumericType):
-            hint = ((F.min(c) == 1) & (F.max(c) == n)) | F.lit(c.lower() in NUMBER_ID_NAMES)
-        else:
-            hint = F.max(F.lit(isinstance(types[c], T.StringType) and c.lower() in STRING_ID_NAMES))
-        stats[c] = {"uniqueness_ratio": share, "is_id": F.coalesce((share >= threshold) & (hint | (share >= UNIQUE_RATIO)), F.lit(False))}
-    return per_column(df, stats)
+    cols = list(cols or atomic_columns(df))
+    share = ratio(F.col("distinct_count"), F.col("n_rows"))
+    return _counted(df, cols, {c: {"hint": _id_hint(df, c)} for c in cols}).select(
+        "column", share.alias("uniqueness_ratio"), _id_rule(share, F.col("hint"), threshold).alias("is_id"))
 
 
 def id_columns_by_name(df: DataFrame, threshold: float = ID_RATIO) -> DataFrame:
@@ -165,13 +174,12 @@ def sample_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | None
 
 def column_quality(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """column, missing_pct, duplicate_pct = (n - distinct) / n, uniqueness_ratio, is_id."""
-    ids = id_columns(df, cols=cols).select("column", "is_id")
-    n = F.count(F.lit(1))
-    base = per_column(df, {c: {
-        "missing_pct": F.round(ratio(F.sum(one(F.col(c).isNull())) * 100.0, n), 2),
-        "duplicate_pct": F.round(ratio((n - F.count_distinct(F.col(c))) * 100.0, n), 2),
-        "uniqueness_ratio": F.round(ratio(F.count_distinct(F.col(c)), n), 3)} for c in cols or atomic_columns(df)})
-    return base.join(F.broadcast(ids), "column")          # one row per column
+    cols = list(cols or atomic_columns(df))
+    n, d = F.col("n_rows"), F.col("distinct_count")
+    share = ratio(d, n)
+    return _counted(df, cols, {c: {"hint": _id_hint(df, c), "missing": F.sum(one(F.col(c).isNull()))} for c in cols}).select(
+        "column", F.round(ratio(F.col("missing") * 100.0, n), 2).alias("missing_pct"), F.round(ratio((n - d) * 100.0, n), 2).alias("duplicate_pct"),
+        F.round(share, 3).alias("uniqueness_ratio"), _id_rule(share, F.col("hint"), ID_RATIO).alias("is_id"))
 
 
 def infer_contract(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def capped_load(spark: SparkSession, path: str, rows: int = DEFAULT_SAMPLE_ROWS,
     """First `rows` CSV rows, or a seeded sample of that many rows of any other format."""
     df = load_table(spark, path)
     if format_of(path) == "csv":
-        return df.limit(rows)
+        return spark.createDataFrame(df.take(rows), df.schema)      # take reads only as many files as it needs
     return seeded_sample(df, rows, keys or df.columns, seed)
 
 
@@ -72,7 +72,7 @@ def seeded_sample(df: DataFrame, rows: int, keys: Sequence[str], seed: int = 42)
     if total > 8 * (rows + 1000):
         top = format(int((2 * rows + 1000) / total * 16 ** 12), "012x")
         near = hashed.where(F.col("_h") < top)
-        if near.limit(rows).count() >= rows:
+        if near.count() >= rows:
             hashed = near
     return hashed.orderBy("_h", *keys).limit(rows).drop("_h")
 

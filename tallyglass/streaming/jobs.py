@@ -109,7 +109,11 @@ def recent_counts(events: DataFrame, client: str, seconds: float = 60, sub_hour:
 # ---- stateful jobs: state per key, batches of a key arrive as an iterator ----
 
 def _times(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Arrival order of one key's micro-batch: time, then id."""
+    """Arrival order of one key's micro-batch: time, then id.
+
+    These rules are sequential per client; files_per_trigger (or the source's
+    offset limit) bounds how much of a busy client one micro-batch holds.
+    """
     rows = pd.concat(list(pdfs), ignore_index=True)
     rows["_t"] = rows["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6
     return rows.sort_values(["_t", "event_id"], kind="stable")
