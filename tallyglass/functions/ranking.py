@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HASH_PREFIX = 4          # 65,536 hash ranges per group
 BUILTIN_ROWS = 2_000_000  # below this the built-in exact percentile is cheap
-MOST_SPLITS, STRIDE = 1024, 32
+FEWEST_SPLITS, MOST_SPLITS = 32, 1024
 
 
 def _splits(df: DataFrame) -> int:
     """Ranges of an order axis: four per shuffle partition, so that ranges outnumber tasks."""
-    return max(STRIDE, min(MOST_SPLITS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(FEWEST_SPLITS, min(MOST_SPLITS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def hash_order(keys: Sequence[str], seed: int = 42) -> Column:
@@ -69,16 +69,15 @@ def running_totals(df: DataFrame, order: str, measures: Sequence[str], by: Seque
     else:
         probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
         cuts = base.groupBy(*groups).agg(
-            F.array_sort(F.array_distinct(F.percentile_approx(order, probs, F.lit(100_000)))).alias("_cuts"))
-    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda x, i: i % STRIDE == STRIDE - 1))
+            F.array_sort(F.array_distinct(F.percentile_approx(order, probs, F.lit(20_000)))).alias("_cuts"))
     if few_groups:
         cuts = F.broadcast(cuts)
     value = F.col(order)
     placed = base.join(cuts, groups)
-    placed = placed.withColumn("_c", F.size(F.filter("_coarse", lambda x: x < value)))
-    placed = placed.withColumn("_bucket", F.col("_c") * STRIDE + F.size(
-        F.filter(F.slice("_cuts", F.col("_c") * STRIDE + 1, F.lit(STRIDE)), lambda x: x < value)))
-    placed = placed.drop("_cuts", "_coarse", "_c")
+    # Cuts below the value, by halving steps; never null, so no null test is pushed in front of it.
+    steps = F.array(*[F.lit(1 << i) for i in range(MOST_SPLITS.bit_length() - 1, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get("_cuts", n + step - 1) < value, step).otherwise(F.lit(0)))
+    placed = placed.withColumn("_bucket", F.coalesce(below, F.lit(0))).drop("_cuts")
     sums = placed.groupBy(*groups, "_bucket").agg(F.min(order).alias("_first"), *[F.sum(m).alias(f"_s_{m}") for m in measures])
     ordered = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -145,12 +144,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         if not wide:
             break
         grid = F.array(*[F.lit(i / 1000) for i in range(1001)])
-        row = data.agg(*[
-            F.percentile_approx(F.when(_within(t[0], brackets[t]), F.col(t[0])), grid, F.lit(100_000)).alias(f"g{i}")
-            for i, t in enumerate(wide)]).first()
+        sketches = list(dict.fromkeys((t[0], brackets[t]) for t in wide))       # quantiles of a column share its first sketch
+        row = data.agg(*[F.percentile_approx(F.when(_within(c, bracket), F.col(c)), grid, F.lit(20_000)).alias(f"g{i}")
+                         for i, (c, bracket) in enumerate(sketches)]).first()
         proposal = {}
-        for i, t in enumerate(wide):
-            g, (lo, hi) = row[f"g{i}"], targets[t]
+        for t in wide:
+            g, (lo, hi) = row[f"g{sketches.index((t[0], brackets[t]))}"], targets[t]
             start = math.floor((lo - below[t]) / inside[t] * 1000) - 1
             stop = math.ceil((hi + 1 - below[t]) / inside[t] * 1000) + 1
             old = brackets[t]

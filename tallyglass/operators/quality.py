@@ -200,13 +200,11 @@ def categorical_drift(current: DataFrame, reference: DataFrame, cols: Sequence[s
         F.sum((qe - pe) * F.log(qe / pe)).alias("psi"), F.sqrt(F.greatest(F.sum(half(p) + half(q)) / 2, F.lit(0.0))).alias("js_distance"),
         F.coalesce(F.sum(F.when(F.col("r") > 0, (F.col("c") - expected) * (F.col("c") - expected) / expected)), F.lit(0.0)).alias("chi2"),
         (count_if(F.col("r") > 0) - 1).alias("dof"), F.max("_nr").alias("_n"))
-    rows = out.collect()           # one row per column; the p-value is driver-side maths
-    tail = [(r["column"], float(chi2_sf(r["chi2"], r["dof"])) if r["dof"] > 0 else 1.0) for r in rows]
-    p_values = current.sparkSession.createDataFrame(tail, "column string, p_value double")
-    small = F.col("_n") <= SMALL_ROWS
-    return out.join(F.broadcast(p_values), "column").select(
+    rows = [(*r, float(chi2_sf(r["chi2"], r["dof"])) if r["dof"] > 0 else 1.0) for r in out.collect()]      # one row per column
+    tested = current.sparkSession.createDataFrame(rows, "column string, psi double, js_distance double, chi2 double, dof bigint, n bigint, p_value double")
+    return tested.select(
         "column", "psi", "js_distance", "chi2", "dof", "p_value", (F.col("psi") > psi_limit).alias("psi_drifted"),
-        F.when(small, F.col("p_value") < alpha).otherwise(F.col("js_distance") >= effect).alias("drifted"))
+        F.when(F.col("n") <= SMALL_ROWS, F.col("p_value") < alpha).otherwise(F.col("js_distance") >= effect).alias("drifted"))
 
 
 def drift_report(current: DataFrame, reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
