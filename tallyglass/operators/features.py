@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyglass.functions.expressions import count_if, dbl, numeric_columns, per_column, ratio, safe_corr, sample_skewness, text_columns, time_columns
+from tallyglass.functions.expressions import dbl, distinct_counts, numeric_columns, per_column, ratio, safe_corr, sample_skewness, text_columns, time_columns
 from tallyglass.functions.ranking import exact_quantiles, running_totals
 from tallyglass.functions.smallmath import inverse_or_none
 from tallyglass.operators.imputation import fill_values
@@ -95,9 +95,8 @@ def quantile_bins(df: DataFrame, cols: Sequence[str] | None = None, bins: int =
 def bin_balance(binned: DataFrame, column: str) -> DataFrame:
     """bin, n, share, and the balance ratio (smallest over largest bin)."""
     counts = binned.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy(F.lit(1))      # one row per bin
-    return counts.select("bin", "n", ratio(F.col("n"), F.sum("n").over(every)).alias("share"),
-                         ratio(F.min("n").over(every), F.max("n").over(every)).alias("balance_ratio"))
+    whole = counts.agg(F.sum("n").alias("t"), ratio(F.min("n"), F.max("n")).alias("balance_ratio")).withColumn("_p", F.lit(1))
+    return counts.withColumn("_p", F.lit(1)).join(F.broadcast(whole), "_p").select("bin", "n", ratio(F.col("n"), F.col("t")).alias("share"), "balance_ratio")
 
 
 def equal_width_bins(df: DataFrame, cols: Sequence[str], bins: int = 5, suffix: str = "_binned") -> DataFrame:
@@ -219,9 +218,8 @@ def ordinal_evidence(df: DataFrame, cols: Sequence[str], limit: float = 0.7) ->
 def encoding_choice(df: DataFrame, cols: Sequence[str] | None = None, target: str | None = None, high: int = 100) -> DataFrame:
     """max_cardinality and method: hash above `high`, target when there is one, else rare bucket."""
     cols = [c for c in (cols or text_columns(df)) if c != target]
-    most = F.greatest(*[F.col(f"d{i}") for i in range(len(cols))]) if len(cols) > 1 else F.col("d0")
-    return df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).select(
-        most.alias("max_cardinality"), F.when(most > high, "hash").otherwise("target" if target else "rare_bucket").alias("method"))
+    return distinct_counts(df, cols).agg(F.max("distinct_count").alias("max_cardinality")).withColumn(
+        "method", F.when(F.col("max_cardinality") > high, "hash").otherwise("target" if target else "rare_bucket"))
 
 
 def encode_auto(df: DataFrame, cols: Sequence[str], target: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyglass.functions.expressions import count_if, dbl, numeric_columns, one, text_columns, union_all
+from tallyglass.functions.expressions import count_if, dbl, numeric_columns, one, text_columns
 from tallyglass.functions.ranking import exact_quantiles
 from tallyglass.operators.missing import missing_mechanism
 from tallyglass.operators.neighbors import nearest

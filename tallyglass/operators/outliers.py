@@ -7,13 +7,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyglass.functions.expressions import count_if, dbl, numeric_columns, one, per_column, ratio, sample_kurtosis, sample_skewness
-from tallyglass.functions.ranking import exact_quantiles, hash_order
+from tallyglass.functions.ranking import exact_quantiles
 from tallyglass.functions.smallmath import chi2_quantile, inverse_or_none
 from tallyglass.operators.neighbors import as_vector, nearest
 from tallyglass.operators.profile import iqr_bounds
+from tallyglass.session import cut_lineage
 from tallyglass.sources.readers import seeded_sample
 
 EULER = 0.5772156649015329
@@ -182,6 +183,7 @@ def isolation_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], co
 def local_outlier_factor(df: DataFrame, key: str, vec: str, k: int = 20) -> DataFrame:
     """key, lof: mean density of the neighbours over the own density, from one exact kNN table and two joins."""
     near = nearest(df, df, key, vec, k, exclude_self=True).select(key, "neighbour", "distance")
+    near = cut_lineage(near)        # read three times: search once
     kth = near.groupBy(F.col(key).alias("neighbour")).agg(F.max("distance").alias("k_distance"))
     reach = near.join(kth, "neighbour").withColumn("reach", F.greatest("distance", "k_distance"))
     density = reach.groupBy(key).agg((1.0 / (F.avg("reach") + 1e-10)).alias("lrd"))

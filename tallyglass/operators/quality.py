@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyglass.functions.expressions import (
-    count_if, dbl, long_values, numeric_columns, one, per_column, ratio, text_columns, tidy, union_all)
+    count_if, dbl, long_values, numeric_columns, one, per_column, ratio, union_all)
 from tallyglass.functions.ranking import exact_quantiles, running_totals
 from tallyglass.functions.smallmath import chi2_sf
 from tallyglass.operators.missing import null_counts
@@ -61,10 +60,10 @@ def check_freshness(df: DataFrame, column: str, as_of: datetime, max_age_hours:
 def check_balance(df: DataFrame, target: str, least_pct: float = 5.0) -> DataFrame:
     """class, n, pct, min_pct, max_pct, balanced."""
     counts = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy(F.lit(1))        # one row per class
-    shares = counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(every))
-    return shares.select("class", "n", "pct", F.min("pct").over(every).alias("min_pct"), F.max("pct").over(every).alias("max_pct"),
-                         (F.min("pct").over(every) > least_pct).alias("balanced"))
+    whole = counts.agg(F.sum("n").alias("t"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("_p", F.lit(1))
+    pct = lambda c: F.col(c) * 100.0 / F.col("t")
+    return counts.withColumn("_p", F.lit(1)).join(F.broadcast(whole), "_p").select(      # one row
+        "class", "n", pct("n").alias("pct"), pct("lo").alias("min_pct"), pct("hi").alias("max_pct"), (pct("lo") > least_pct).alias("balanced"))
 
 
 def check_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:

@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyglass.functions.expressions import count_if, one, ratio
+from tallyglass.functions.expressions import count_if, one
 from tallyglass.functions.ranking import order_rank
 from tallyglass.session import cut_lineage
 

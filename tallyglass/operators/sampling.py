@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyglass.functions.expressions import count_if, ratio
+from tallyglass.functions.expressions import ratio
 from tallyglass.functions.ranking import hash_order, hash_rank, order_rank, running_totals
 from tallyglass.operators.neighbors import nearest
 from tallyglass.session import cut_lineage
@@ -41,8 +41,8 @@ def imbalance_advice(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """label, n, weight = n / (classes * class count)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy(F.lit(1))          # one row per class
-    return counts.select(label, "n", ratio(F.sum("n").over(every), F.count(F.lit(1)).over(every) * F.col("n")).alias("weight"))
+    whole = counts.agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k")).withColumn("_p", F.lit(1))
+    return counts.withColumn("_p", F.lit(1)).join(F.broadcast(whole), "_p").select(label, "n", ratio(F.col("_t"), F.col("_k") * F.col("n")).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -121,7 +121,7 @@ def foreign_share(df: DataFrame, key: str, vec: str, label: str, value: object,
     near = nearest(mine, data, key, vec, k, exclude_self=True)
     labels = data.select(F.col(key).alias("neighbour"), F.col(label).alias("_nl"))
     votes = near.join(labels, "neighbour").groupBy(key).agg(F.avg(F.when(F.col("_nl") != F.lit(value), 1.0).otherwise(0.0)).alias("foreign"))
-    return mine.join(votes, key)
+    return cut_lineage(mine.join(votes, key))       # several later steps read it: search once
 
 
 def borderline_smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
@@ -162,7 +162,7 @@ def adasyn(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int
 def tomek_links(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     """key_a, key_b, label_a, label_b: mutual nearest rows of different classes (key_a < key_b)."""
     data = _vectors(df, key, vec, label)
-    first = nearest(data, data, key, vec, 1, exclude_self=True).select(F.col(key).alias("a"), F.col("neighbour").alias("b"))
+    first = cut_lineage(nearest(data, data, key, vec, 1, exclude_self=True).select(F.col(key).alias("a"), F.col("neighbour").alias("b")))
     mutual = first.where("a < b").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
     labels = data.select(key, label)
     out = mutual.join(labels.select(F.col(key).alias("a"), F.col(label).alias("label_a")), "a").join(

@@ -125,9 +125,10 @@ def id_columns_by_name(df: DataFrame, threshold: float = ID_RATIO) -> DataFrame:
 
 def datetime_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """column, parse_share, unique_ratio, is_datetime: over half unique and over 80 % parse, on all rows."""
-    stats = {c: {"parse_share": ratio(F.count(parse_time(F.col(c))), F.count(c), 0.0),
-                 "unique_ratio": ratio(F.count_distinct(F.col(c)), F.count(F.lit(1)), 0.0)} for c in cols or text_columns(df)}
-    return per_column(df, stats).withColumn("is_datetime", (F.col("unique_ratio") > 0.5) & (F.col("parse_share") > PARSE_SHARE))
+    cols = list(cols or text_columns(df))
+    parsed = _counted(df, cols, {c: {"parse_share": ratio(F.count(parse_time(F.col(c))), F.count(c), 0.0)} for c in cols})
+    return parsed.select("column", "parse_share", ratio(F.col("distinct_count"), F.col("n_rows"), 0.0).alias("unique_ratio")).withColumn(
+        "is_datetime", (F.col("unique_ratio") > 0.5) & (F.col("parse_share") > PARSE_SHARE))
 
 
 def _pattern_shares(c: str) -> list[tuple[str, Column]]:
@@ -154,8 +155,9 @@ def max_lengths(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def sample_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | None = None, k: int = 5, seed: int = 42) -> DataFrame:
     """column, samples: range text for numeric ids, top values up to 10 distinct ones, else seeded rows."""
     cols = list(cols or [c for c in atomic_columns(df)])
-    info = {r["column"]: r for r in id_columns(df, cols=cols).join(
-        per_column(df, {c: {"d": F.count_distinct(F.col(c))} for c in cols}), "column").collect()}      # one row per column
+    share = ratio(F.col("distinct_count"), F.col("n_rows"))
+    info = {r["column"]: r for r in _counted(df, cols, {c: {"hint": _id_hint(df, c)} for c in cols}).select(
+        "column", F.col("distinct_count").alias("d"), _id_rule(share, F.col("hint"), ID_RATIO).alias("is_id")).collect()}      # one row per column
     numbers, frames = numeric_columns(df), []
     few = [c for c in cols if info[c]["d"] <= 10 and not (info[c]["is_id"] and c in numbers)]
     for c in cols:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import features as T, outliers as O
 from tallyglass.plans.catalog import query, rounded, union_sql
-from tallyglass.plans.inputs import GAPS, PART_FEATURES, PARTS, gaps, parts, table, vectors
+from tallyglass.plans.inputs import GAPS, gaps, table, vectors
 from tallyglass.plans.profile_queries import NUMBERS, per_column_sql
 from tallyglass.session import fresh_path
 
@@ -294,7 +294,7 @@ def f23(spark, d):
     return T.interactions_pruned(table(spark, d, "lineitem").select("l_orderkey", *NUMBERS), ["l_quantity", "l_discount", "l_tax"])
 
 
-@query("f24_pipeline_reloaded", "SELECT c_custkey, c_mktsegment, round(c_acctbal / (SELECT stddev_samp(c_acctbal) FROM customer), 5) AS first_feature FROM customer")
+@query("f24_features_reloaded", "SELECT c_custkey, c_mktsegment, round(c_acctbal / (SELECT stddev_samp(c_acctbal) FROM customer), 5) AS first_feature FROM customer")
 def f24(spark, d):
     from pyspark.ml.functions import vector_to_array
     c = table(spark, d, "customer").drop("c_nationkey", "c_name")

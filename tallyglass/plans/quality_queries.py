@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import quality as Q
 from tallyglass.plans.catalog import query, rounded, union_sql
-from tallyglass.plans.feature_queries import EVENT_IQR
 from tallyglass.plans.inputs import AFTER, AS_OF, AS_OF_SQL, BEFORE, GAPS, REPEATS, before_after, gaps, repeats, table
 from tallyglass.plans.missing_queries import RULES
 from tallyglass.plans.profile_queries import ALL_GAPS, per_column_sql, DESCRIBE
