@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 HASH_PREFIX = 4          # 65,536 hash ranges per group
 BUILTIN_ROWS = 2_000_000  # below this the built-in exact percentile is cheap
 FEWEST_SPLITS, MOST_SPLITS = 32, 1024
+MOST_RANKED = 900         # stay below the limit up to which ranks are trimmed in each task before the shuffle
 
 
 def _splits(df: DataFrame) -> int:
@@ -63,6 +64,7 @@ def running_totals(df: DataFrame, order: str, measures: Sequence[str], by: Seque
     base = df if by else df.withColumn("_all", F.lit(0))
     splits = _splits(df)
     if isinstance(base.schema[order].dataType, T.StringType):     # no approximate quantiles for text: cut at hash-chosen values
+        splits = min(splits, MOST_RANKED)
         chosen = Window.partitionBy(*groups).orderBy(F.xxhash64(order), order)
         cuts = (base.select(*groups, order).withColumn("_r", F.row_number().over(chosen)).where(F.col("_r") < splits)
                 .groupBy(*groups).agg(F.array_sort(F.collect_list(order)).alias("_cuts")))

@@ -106,6 +106,7 @@ def nearest(queries: DataFrame, donors: DataFrame, key: str, vec: str, k: int, b
     named = [F.col("g").alias(by)] if by else []
     if sum(r["bytes"] for r in measured) <= small_bytes:
         listed = _near_broadcast(q_rows, d, key_type, need)
+        d.unpersist()
         kept = F.filter("near", lambda s: s["neighbour"] != F.col("key")) if exclude_self else F.col("near")
         out = listed.select("g", "key", F.posexplode(F.slice(kept, 1, k)).alias("_p", "_s"))
         return out.select(*named, F.col("key").alias(key), "_s.neighbour", "_s.distance", (F.col("_p") + 1).alias("rank"))

@@ -144,7 +144,8 @@ def isolation_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str], tr
         return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [_grow(x, np.random.default_rng([seed, tree]), depth)]})
 
     grown = chosen.select("tree", "_h", *[dbl(c).alias(c) for c in cols]).groupBy("tree").applyInPandas(
-        grow, "tree int, size int, nodes array<array<double>>").collect()
+        grow, "tree int, size int, nodes array<array<double>>").collect()       # bounded by trees x sample
+    pool.unpersist()
     forest = df.sparkSession.sparkContext.broadcast([np.array(r["nodes"], dtype=float) for r in sorted(grown, key=lambda r: r["tree"])])
     norm = _path_norm(max([r["size"] for r in grown], default=2)) or 1.0
 

@@ -52,6 +52,11 @@ def l04b(spark, d):
     return S.smote(parts(spark, d), "p_partkey", "vec", "klass").where("synthetic")
 
 
+@query("l05_borderline_smote_sizes", f"SELECT klass, (SELECT max(n) FROM (SELECT count(*) AS n FROM {PARTS} GROUP BY klass)) AS n FROM {PARTS} GROUP BY klass")
+def l05b(spark, d):
+    return S.borderline_smote(parts(spark, d), "p_partkey", "vec", "klass").groupBy("klass").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("l05_borderline_smote")
 def l05(spark, d):
     return S.borderline_smote(parts(spark, d), "p_partkey", "vec", "klass").where("synthetic")
