@@ -74,15 +74,17 @@ def log_transform(df: DataFrame, cols: Sequence[str] | None = None, skew_limit:
 
 # ---- bins ----
 
-def bin_by_edges(c: Column, edges: Sequence[float], prefix: str) -> Column:
-    """Right-closed bins between repeat-free edges; the first also takes the minimum."""
+def bin_code(c: Column, edges: Sequence[float]) -> Column:
+    """1-based number of the right-closed bin between repeat-free edges; the first also takes the minimum."""
     distinct = sorted(set(edges))
-    label = F.lit(None).cast("string")
-    for i in range(len(distinct) - 1, 0, -1):
-        label = F.when(c <= distinct[i], f"{prefix}{i}").otherwise(label)
-    if len(distinct) == 1:
-        label = F.when(c <= distinct[0], f"{prefix}1")
-    return F.when(c.isNotNull(), label)
+    code = F.lit(None).cast("int")
+    for i in range(max(1, len(distinct) - 1), 0, -1):
+        code = F.when(c <= distinct[min(i, len(distinct) - 1)], i).otherwise(code)
+    return code
+
+
+def bin_by_edges(c: Column, edges: Sequence[float], prefix: str) -> Column:
+    return F.concat(F.lit(prefix), bin_code(c, edges).cast("string"))
 
 
 def quantile_bins(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 5, suffix: str = "_binned") -> DataFrame:
@@ -348,8 +350,10 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str] | None =
     numbers = numeric_columns(df)
     binned_cols = cols + ([target] if target in numbers else [])
     edges = exact_quantiles(df, binned_cols, [i / bins for i in range(bins + 1)])
-    label = lambda c: bin_by_edges(dbl(c), edges[c], "") if c in edges and edges[c][0] is not None else F.col(c).cast("string")
-    wide = df.select(label(target).alias("_y"), *[label(c).alias(c) for c in cols])
+    plain = any(c not in numbers for c in cols)          # text features: compare all codes as text
+    label = lambda c: bin_code(dbl(c), edges[c]) if c in edges and edges[c][0] is not None else F.col(c).cast("string")
+    wide = df.select(label(target).alias("_y"), *[(label(c).cast("string") if plain else label(c)).alias(c) for c in cols if c not in edges or edges[c][0] is not None])
+    cols = [c for c in cols if c in wide.columns]
     joint = wide.unpivot(["_y"], cols, "column", "_x").dropna().groupBy("column", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     n = F.col("_n")                                   # bins x bins rows per column from here on
     whole, left, right = Window.partitionBy("column"), Window.partitionBy("column", "_x"), Window.partitionBy("column", "_y")
