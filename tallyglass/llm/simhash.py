@@ -7,12 +7,13 @@ m(i) & v. For any set of at most `radius` differing bits there is a v orthogonal
 all their vectors, so every linked pair agrees under some mask: no pair is missed.
 
 Scale. Equal fingerprints are folded first. A table bucket of two is settled by an
-aggregate (smallest and largest member). Larger buckets up to `block` members meet
-in one task as a sorted run. Buckets above `block` are never brought together: their
-members are dealt again under a second, independent family of masks on top of the
-first, and so on; each round halves the free bits, and a bucket cannot hold more
-members than its free bits allow, so the rounds end by themselves. Tasks emit a
-spanning forest of each bucket's links, never all pairs.
+aggregate (smallest and largest member). Larger buckets are cut into blocks of about
+`block` members by a hash, and every two blocks meet in one task as a sorted run, so no
+task holds more than two blocks. A bucket of more than SPREAD blocks would copy each
+member too often: its members are dealt again under a second, independent family of
+masks on top of the first. That leaves about 16 free bits, so the second buckets hold
+some 65,000 fingerprints at most, whatever the corpus is, and are always cut into blocks.
+Tasks emit a spanning forest of what they saw, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tallyglass.llm.graph import connected_components
 
 SEED = 42
 BITS = 64
+SPREAD = 32          # blocks of a bucket above which its members are dealt again: about the number of masks
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -94,47 +96,55 @@ def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _link_buckets(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((0, 3), np.int64)
+        rest = np.empty((0, 4), np.int64)
         for batch in batches:
-            rows = np.column_stack([np.asarray(batch.column(i)) for i in range(3)]).astype(np.int64)
-            rows = np.vstack([rest, rows])
-            cuts = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
+            rows = np.vstack([rest, np.column_stack([np.asarray(c) for c in batch.columns]).astype(np.int64)])
+            cuts = np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(axis=1)) + 1
             last = cuts[-1] if len(cuts) else 0
             yield from pack(rows[:last], cuts[:-1])
             rest = rows[last:]
         yield from pack(rest, [])
 
     def pack(rows, cuts):
-        found = [e for group in np.split(rows[:, 2], cuts) if len(group) > 1 for e in _forest(group, radius)]
+        found = [e for group in np.split(rows[:, 3], cuts) if len(group) > 1 for e in _forest(group, radius)]
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
+def _dealt(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """Rows (fp, t, mask, key), one per table of a level: t numbers the tables over both levels, key is fp under all masks so far."""
+    masks = covering_masks(radius, level)
+    choice = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(m).cast("bigint").alias("m")) for i, m in enumerate(masks)])
+    return (rows.withColumn("x", F.explode(choice))
+            .select("fp", (F.col("t") * len(masks) + F.col("x.i")).alias("t"), F.col("mask").bitwiseOR(F.col("x.m")).alias("mask"))
+            .withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(t, key, n, a, b) of the buckets with more than one member; a and b are the smallest and the largest."""
+    return keep_table(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
+
+
+def _bucket_links(rows: DataFrame, buckets: DataFrame, radius: int, block: int) -> list[DataFrame]:
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    parts = buckets.where("n > 2").select("t", "key", F.ceil(F.col("n") / block).cast("bigint").alias("parts"))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
+    runs = rows.join(parts, ["t", "key"]).select("t", "key", F.explode(pairs).alias("pair"), "fp").repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
+    return [buckets.where((F.col("n") == 2) & near).select("a", "b"), runs.mapInArrow(_link_buckets(radius), "a bigint, b bigint")]
+
+
 def near_links(fps: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
     """(a, b): edges over distinct fingerprints `fp`, joining exactly what links of at most `radius` differing bits join."""
-    found = []
-    # a row: fp, the table (number over all levels) and the bits that this table looks at
-    dealt = fps.select("fp", F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("mask"))
-    level = 0
-    while True:
-        masks = covering_masks(radius, level)
-        choice = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(m).cast("bigint").alias("m")) for i, m in enumerate(masks)])
-        rows = (dealt.withColumn("x", F.explode(choice))
-                .select("fp", (F.col("t") * len(masks) + F.col("x.i")).alias("t"), F.col("mask").bitwiseOR(F.col("x.m")).alias("mask"))
-                .withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
-        buckets = keep_table(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-        found.append(buckets.where((F.col("n") == 2) & near).select("a", "b"))
-        some = buckets.where((F.col("n") > 2) & (F.col("n") <= block)).select("t", "key")
-        runs = rows.join(some, ["t", "key"]).select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
-        found.append(runs.mapInArrow(_link_buckets(radius), "a bigint, b bigint"))
-        large = buckets.where(F.col("n") > block).select("t", "key")
-        if large.isEmpty():
-            break
-        dealt = keep_table(rows.join(large, ["t", "key"]).select("fp", "t", "mask"), "large-buckets")
-        level += 1
+    rows = _dealt(fps.select("fp", F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("mask")), radius, 0)
+    buckets = _buckets(rows)
+    found = _bucket_links(rows, buckets.where(F.col("n") <= SPREAD * block), radius, block)
+    large = buckets.where(F.col("n") > SPREAD * block).select("t", "key")
+    if not large.isEmpty():
+        again = _dealt(keep_table(rows.join(large, ["t", "key"]).select("fp", "t", "mask"), "large-buckets"), radius, 1)
+        found += _bucket_links(again, _buckets(again), radius, block)
     links = found[0]
     for more in found[1:]:
         links = links.unionAll(more)
