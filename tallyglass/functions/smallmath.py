@@ -63,3 +63,17 @@ def inverse_or_none(matrix: np.ndarray) -> np.ndarray | None:
     if not np.all(np.isfinite(matrix)) or np.linalg.cond(matrix) > 1e12:
         return None
     return np.linalg.inv(matrix)
+
+
+def variance_inflation(matrix: np.ndarray, tolerance: float = 1e-10) -> list[float]:
+    """1 / (1 - R²) of every column against the others, from a correlation matrix.
+
+    The matrix' null space holds the exact dependences: columns with a part in it are
+    infinite. The others keep their value in the pseudo-inverse, as the dependent columns
+    span the same space with or without one of them.
+    """
+    values, vectors = np.linalg.eigh(np.asarray(matrix, float))
+    null = values <= tolerance * max(1.0, values[-1])
+    share = (vectors[:, null] ** 2).sum(axis=1)
+    inverse = (vectors[:, ~null] ** 2 / values[~null]).sum(axis=1)
+    return [float("inf") if s > 1e-8 else float(v) for s, v in zip(share, inverse)]

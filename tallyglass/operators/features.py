@@ -11,9 +11,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyglass.functions.expressions import dbl, distinct_counts, numeric_columns, per_column, ratio, safe_corr, sample_skewness, text_columns, time_columns
+from tallyglass.functions.expressions import dbl, distinct_counts, numeric_columns, per_column, ratio, sample_skewness, text_columns, time_columns
 from tallyglass.functions.ranking import exact_quantiles, running_totals
-from tallyglass.functions.smallmath import inverse_or_none
+from tallyglass.functions.smallmath import variance_inflation
 from tallyglass.operators.imputation import fill_values
 from tallyglass.operators.schema import parse_time
 
@@ -178,10 +178,26 @@ def categories(df: DataFrame, col: str, limit: int = WIDE_LIMIT) -> list:
     """Sorted distinct values; an error above `limit`, where a wide encoding is the wrong tool."""
     found = df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()
     if len(found) > limit:
-        raise ValueError(f"{col} has over {limit} categories: use hash or target encoding")
+        raise ValueError(f"{col} has over {limit} categories: use one_hot_vectors, hash or target encoding")
     return sorted(r[0] for r in found)
 
 
+def one_hot_vectors(df: DataFrame, cols: Sequence[str], drop_first: bool = True) -> DataFrame:
+    """One sparse 0/1 vector {column}_onehot (size, indices, values) in place of each column, for any number of categories.
+
+    Positions are the sorted distinct values; nulls are the empty vector. The code table
+    is computed range by range and joined, so no category list reaches the driver.
+    """
+    for c in cols:
+        codes = label_codes(df, c)
+        size = codes.count() - int(drop_first)
+        at = F.col("code") - int(drop_first)
+        place = F.when(at >= 0, F.array(at)).otherwise(F.array().cast("array<int>"))
+        vector = F.struct(F.lit(size).alias("size"), place.alias("indices"), F.transform(place, lambda _: F.lit(1.0)).alias("values"))
+        df = df.join(codes, F.col(c) == F.col("value"), "left").withColumn(f"{c}_onehot", vector).drop(c, "value", "code")
+    return df
+
+
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True) -> DataFrame:
     """0/1 columns {column}_{value} in place of the column, without the first category."""
     for c in cols:
@@ -286,10 +302,12 @@ def text_vectors(df: DataFrame, key: str, text: str, max_features: int = 1000) -
 
 # ---- interactions and selection ----
 
-def interactions(df: DataFrame, cols: Sequence[str] | None = None, degree: int = 2, most: int = 100) -> DataFrame:
-    """Adds products a_x_b (and a_x_b_x_c for degree 3) in column order, at most `most`."""
+def interactions(df: DataFrame, cols: Sequence[str] | None = None, degree: int = 2, most: int | None = None) -> DataFrame:
+    """Adds products a_x_b (and a_x_b_x_c for degree 3) in column order: all, or an error when there are more than `most`."""
     cols = list(cols or numeric_columns(df))
-    sets = [s for d in range(2, degree + 1) for s in combinations(cols, d)][:most]
+    sets = [s for d in range(2, degree + 1) for s in combinations(cols, d)]
+    if most is not None and len(sets) > most:
+        raise ValueError(f"{len(sets)} products of {len(cols)} columns; at most {most} were asked for")
     out = {}
     for s in sets:
         product = dbl(s[0])
@@ -300,16 +318,17 @@ def interactions(df: DataFrame, cols: Sequence[str] | None = None, degree: int =
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """p x p correlations over complete rows, on the driver."""
+    """p x p correlations over complete rows, from one pass that sums partial Gram matrices; the result is on the driver."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
     cols = list(cols)
-    pairs = list(combinations(range(len(cols)), 2))
-    complete = df.dropna(subset=cols)
-    matrix = np.eye(len(cols))
-    for start in range(0, len(pairs), 40):
-        chunk = pairs[start:start + 40]
-        row = complete.agg(*[safe_corr(F.col(cols[i]), F.col(cols[j])).alias(f"r{i}_{j}") for i, j in chunk]).first()
-        for i, j in chunk:
-            matrix[i, j] = matrix[j, i] = row[f"r{i}_{j}"] if row[f"r{i}_{j}"] is not None else 0.0
+    complete = df.select(*[dbl(c).alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    if len(cols) < 2 or len(complete.take(2)) < 2:
+        return np.eye(len(cols))
+    vectors = VectorAssembler(inputCols=complete.columns, outputCol="v").transform(complete).select("v")
+    matrix = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray(), nan=0.0)      # constant columns correlate with nothing
+    np.fill_diagonal(matrix, 1.0)
     return matrix
 
 
@@ -317,12 +336,11 @@ def vif_values(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     cols = list(cols)
     if len(cols) < 2:
         return {c: 1.0 for c in cols}
-    inverse = inverse_or_none(correlation_matrix(df, cols))
-    return {c: float(inverse[i, i]) if inverse is not None else math.inf for i, c in enumerate(cols)}
+    return dict(zip(cols, variance_inflation(correlation_matrix(df, cols))))
 
 
 def vif(df: DataFrame, cols: Sequence[str] | None = None, flag: float = 5.0, severe: float = 10.0) -> DataFrame:
-    """column, vif, level (ok, high, severe): the diagonal of the inverse correlation matrix."""
+    """column, vif, level (ok, high, severe): 1 / (1 - R²) against the other columns; infinite for the columns of an exact dependence only."""
     rows = list(vif_values(df, list(cols or numeric_columns(df))).items())
     v = F.col("vif")
     return df.sparkSession.createDataFrame(rows, "column string, vif double").withColumn(
@@ -381,12 +399,12 @@ def prune(df: DataFrame, target: str | None = None, method: str = "all", vif_lim
     return df.drop(*[c for c, _ in removed]), report
 
 
-def interactions_pruned(df: DataFrame, cols: Sequence[str], degree: int = 2, most: int = 100, vif_limit: float = 5.0) -> DataFrame:
-    """Interactions, then without the products whose VIF is above the limit."""
+def interactions_pruned(df: DataFrame, cols: Sequence[str], degree: int = 2, most: int | None = None, vif_limit: float = 5.0) -> DataFrame:
+    """Interactions, then without any of the columns and products whose VIF is above the limit."""
     wide = interactions(df, cols, degree, most)
     made = [c for c in wide.columns if c not in df.columns]
     values = vif_values(wide, [*cols, *made])
-    return wide.drop(*[c for c in made if values[c] > vif_limit])
+    return wide.drop(*[c for c in values if values[c] > vif_limit])
 
 
 def transformation_summary(before: DataFrame, after: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -63,25 +63,26 @@ def impute_knn(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> Data
     so the exact pivot join applies.  Without any usable donor: column mean.
     """
     cols, p = list(cols), len(cols)
-    bits = sum([one(F.col(c).isNotNull()) * (1 << i) for i, c in enumerate(cols)], F.lit(0))
+    bits = F.concat(*[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in cols])          # one digit per column, for any number of columns
     rows = df.select(F.col(key), *[dbl(c).alias(c) for c in cols], bits.alias("_has"))
-    full = (1 << p) - 1
-    patterns = [r["_has"] for r in rows.select("_has").distinct().collect()]      # at most 2^p
+    full, text = (1 << p) - 1, lambda mask: format(mask, f"0{p}b")
+    patterns = [int(r["_has"], 2) for r in rows.select("_has").distinct().collect()]      # at most 2^p
     pairs = [(q, d, q & d) for q in patterns if q != full for d in patterns if q & d and d & ~q]
     means = df.agg(*[F.avg(dbl(c)).alias(c) for c in cols]).first()
     result = df
     if pairs:
         spark = df.sparkSession
-        ask = F.broadcast(spark.createDataFrame([(q, d, s) for q, d, s in pairs], "_has int, _donor int, _shared int"))
-        give = F.broadcast(spark.createDataFrame(sorted({(d, d, s) for _, d, s in pairs}), "_has int, _donor int, _shared int"))
-        masked = F.array(*[F.when(F.col("_shared").bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise(F.lit(0.0)) for i, c in enumerate(cols)])
+        ask = F.broadcast(spark.createDataFrame([tuple(map(text, pair)) for pair in pairs], "_has string, _donor string, _shared string"))
+        give = F.broadcast(spark.createDataFrame(sorted({(text(d), text(d), text(s)) for _, d, s in pairs}), "_has string, _donor string, _shared string"))
+        bit = lambda mask, i: F.substring(mask, i + 1, 1) == "1"
+        masked = F.array(*[F.when(bit("_shared", i), F.col(c)).otherwise(F.lit(0.0)) for i, c in enumerate(cols)])
         group = F.concat_ws("_", "_donor", "_shared")
         shaped = lambda table: rows.join(table, "_has").select(key, group.alias("_g"), masked.alias("_vec"))
         near = nearest(shaped(ask), shaped(give), key, "_vec", k, by="_g")
-        donor, shared = F.split("_g", "_")[0].cast("int"), F.split("_g", "_")[1].cast("int")
-        near = near.select(key, "neighbour", donor.alias("_donor"), (F.col("distance") * F.sqrt(F.lit(float(p)) / F.bit_count(shared))).alias("_d"))
+        donor, shared = F.split("_g", "_")[0], F.split("_g", "_")[1]
+        near = near.select(key, "neighbour", donor.alias("_donor"), (F.col("distance") * F.sqrt(F.lit(float(p)) / F.length(F.replace(shared, F.lit("0"), F.lit(""))))).alias("_d"))
         near = near.join(rows.select(key, "_has"), key)
-        usable = F.array(*[F.when((F.col("_donor").bitwiseAND(F.lit(1 << i)) != 0) & (F.col("_has").bitwiseAND(F.lit(1 << i)) == 0), F.lit(c))
+        usable = F.array(*[F.when(bit("_donor", i) & ~bit("_has", i), F.lit(c))
                            for i, c in enumerate(cols)])
         near = near.select(key, "neighbour", "_d", F.explode(F.filter(usable, lambda x: x.isNotNull())).alias("_column"))
         best = Window.partitionBy(key, "_column").orderBy("_d", "neighbour")

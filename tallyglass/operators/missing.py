@@ -119,12 +119,11 @@ def imputation_plan(df: DataFrame) -> DataFrame:
 
 
 def completeness_score(df: DataFrame) -> DataFrame:
-    """quality_score = 100 - missing rate, its impact class and advice."""
+    """quality_score = 100 - missing rate, its impact class, and how many of the limits 95, 80 and 60 the score misses."""
     rate, score = F.col("missing_rate_pct"), F.col("quality_score")
     return overall_missing(df).withColumn("quality_score", F.round(100 - rate, 2)).select(
         "quality_score", F.when(rate < 5, "low").when(rate < 20, "medium").otherwise("high").alias("impact"),
-        F.when(score >= 95, "proceed with analysis").when(score >= 80, "impute selected columns")
-        .when(score >= 60, "impute systematically").otherwise("improve collection or replace the data").alias("advice"))
+        sum([one(score < limit) for limit in (95, 80, 60)], F.lit(0)).alias("limits_missed"))
 
 
 def critical_columns(df: DataFrame, limit: float = CRITICAL_PCT) -> DataFrame:

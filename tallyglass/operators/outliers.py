@@ -122,20 +122,16 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[floa
 def isolation_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Adds `score` = 2^(-mean depth / expected depth) for rows complete in `cols`.
 
-    Each tree grows in its own task from a hash sample of at most `sample` rows;
+    Each tree grows in its own task from the `sample` smallest hashes of (row, tree), at
+    every table size among the trees x sample rows with the smallest hashes of their own;
     the trees (bounded by trees x 2 x sample nodes) are broadcast to score all rows.
     """
     cols = list(cols)
     complete = df.dropna(subset=cols)
-    pool = seeded_sample(complete.select(*dict.fromkeys([*keys, *cols])), trees * sample, keys, seed)
-    pool = pool.select(*dict.fromkeys([*keys, *cols])).persist()
-    if pool.count() == trees * sample:       # enough rows for trees of their own: deal them round in hash order
-        dealt = Window.orderBy("_h", *keys)  # trees x sample rows
-        chosen = pool.withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))).withColumn("tree", (F.row_number().over(dealt) % trees).cast("int"))
-    else:
-        spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-            "_h", F.xxhash64(*[F.col(k) for k in keys], F.col("tree"), F.lit(seed)))
-        chosen = spread.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys))).where(F.col("_r") <= sample)
+    keyed = complete.select(*dict.fromkeys([*keys, *cols])).withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+    first = keyed.orderBy("_h", *keys).limit(trees * sample)          # trees x sample rows at most, from all rows
+    spread = first.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", F.xxhash64("_h", "tree"))
+    chosen = spread.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys))).where(F.col("_r") <= sample)
     depth = math.ceil(math.log2(max(2, sample)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +141,6 @@ def isolation_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str], tr
 
     grown = chosen.select("tree", "_h", *[dbl(c).alias(c) for c in cols]).groupBy("tree").applyInPandas(
         grow, "tree int, size int, nodes array<array<double>>").collect()       # bounded by trees x sample
-    pool.unpersist()
     forest = df.sparkSession.sparkContext.broadcast([np.array(r["nodes"], dtype=float) for r in sorted(grown, key=lambda r: r["tree"])])
     norm = _path_norm(max([r["size"] for r in grown], default=2)) or 1.0
 

@@ -17,7 +17,7 @@ from tallyglass.operators.profile import duplicate_keys, duplicate_rows, overall
 from tallyglass.operators.schema import enforce_contract, schema_check
 
 PSI_LIMIT, EFFECT_LIMIT, ALPHA = 0.25, 0.1, 0.05
-SMALL_ROWS = 1_000
+RULES = ("effect", "p_value")
 EPSILON = 1e-4
 # Weights of the overall score.
 WEIGHTS = {"completeness": 0.3, "consistency": 0.2, "validity": 0.3, "uniqueness": 0.2}
@@ -156,11 +156,18 @@ def _kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms)))
 
 
-def numeric_drift(current: DataFrame, reference: DataFrame, cols: Sequence[str], alpha: float = ALPHA, effect: float = EFFECT_LIMIT) -> DataFrame:
+def _checked(rule: str) -> str:
+    if rule not in RULES:
+        raise ValueError(f"unknown rule: {rule}")
+    return rule
+
+
+def numeric_drift(current: DataFrame, reference: DataFrame, cols: Sequence[str], alpha: float = ALPHA, effect: float = EFFECT_LIMIT,
+                  rule: str = "effect") -> DataFrame:
     """column, ks, ks_p, wasserstein (in reference deviations), drifted.
 
-    Up to 1,000 reference rows the KS p-value decides, above it the effect size:
-    at scale every difference is significant.  Both statistics come from one
+    `rule` decides, at every number of rows: "effect" (Wasserstein at or above `effect`)
+    or "p_value" (KS p-value below `alpha`; with many rows every difference is significant).  Both statistics come from one
     pair of cumulative counts over distinct values.
     """
     counts = _two_samples(current, reference, cols, "double")
@@ -177,11 +184,11 @@ def numeric_drift(current: DataFrame, reference: DataFrame, cols: Sequence[str],
     p = _kolmogorov_p(F.col("ks"), F.col("_n"), F.col("_m"))
     w = F.col("_area") / F.greatest(F.col("_sd"), F.lit(0.001))
     return out.select("column", "ks", p.alias("ks_p"), w.alias("wasserstein"),
-                      F.when(F.col("_n") <= SMALL_ROWS, p < alpha).otherwise(w >= effect).alias("drifted"))
+                      (w >= effect if _checked(rule) == "effect" else p < alpha).alias("drifted"))
 
 
 def categorical_drift(current: DataFrame, reference: DataFrame, cols: Sequence[str], psi_limit: float = PSI_LIMIT,
-                      effect: float = EFFECT_LIMIT, alpha: float = ALPHA) -> DataFrame:
+                      effect: float = EFFECT_LIMIT, alpha: float = ALPHA, rule: str = "effect") -> DataFrame:
     """column, psi, js_distance, chi2, dof, p_value, psi_drifted, drifted.
 
     Shares under 0.0001 count as that in PSI.  chi2 compares current counts with
@@ -203,17 +210,20 @@ def categorical_drift(current: DataFrame, reference: DataFrame, cols: Sequence[s
     tested = current.sparkSession.createDataFrame(rows, "column string, psi double, js_distance double, chi2 double, dof bigint, n bigint, p_value double")
     return tested.select(
         "column", "psi", "js_distance", "chi2", "dof", "p_value", (F.col("psi") > psi_limit).alias("psi_drifted"),
-        F.when(F.col("n") <= SMALL_ROWS, F.col("p_value") < alpha).otherwise(F.col("js_distance") >= effect).alias("drifted"))
+        (F.col("js_distance") >= effect if _checked(rule) == "effect" else F.col("p_value") < alpha).alias("drifted"))
 
 
-def drift_report(current: DataFrame, reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
-    """column, kind, statistic (Wasserstein or Jensen-Shannon), p_value, drifted."""
+def drift_report(current: DataFrame, reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), rule: str = "effect") -> DataFrame:
+    """column, kind, statistic (Wasserstein or Jensen-Shannon), p_value, drifted.
+
+    `rule` says what decides, at every number of rows: "effect" (the statistic) or "p_value".
+    """
     frames = []
     if numeric:
-        frames.append(numeric_drift(current, reference, numeric).select(
+        frames.append(numeric_drift(current, reference, numeric, rule=rule).select(
             "column", F.lit("numeric").alias("kind"), F.col("wasserstein").alias("statistic"), F.col("ks_p").alias("p_value"), "drifted"))
     if categorical:
-        frames.append(categorical_drift(current, reference, categorical).select(
+        frames.append(categorical_drift(current, reference, categorical, rule=rule).select(
             "column", F.lit("categorical").alias("kind"), F.col("js_distance").alias("statistic"), "p_value", "drifted"))
     return union_all(frames)
 
@@ -229,10 +239,10 @@ def psi(current: DataFrame, reference: DataFrame, cols: Sequence[str], limit: fl
     return categorical_drift(current, reference, cols, limit).select("column", "psi", F.col("psi_drifted").alias("drifted"))
 
 
-def target_drift(current: DataFrame, reference: DataFrame, target: str) -> DataFrame:
+def target_drift(current: DataFrame, reference: DataFrame, target: str, rule: str = "effect") -> DataFrame:
     """The drift row of the target column alone."""
     number = target in numeric_columns(reference)
-    return drift_report(current, reference, [target] if number else [], [] if number else [target])
+    return drift_report(current, reference, [target] if number else [], [] if number else [target], rule)
 
 
 def failed_share(results: DataFrame, passed: str = "passed") -> DataFrame:

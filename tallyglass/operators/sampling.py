@@ -11,14 +11,8 @@ from tallyglass.functions.ranking import hash_order, hash_rank, order_rank, runn
 from tallyglass.operators.neighbors import nearest
 from tallyglass.session import cut_lineage
 
-# Advice per severity of imbalance.
-IMBALANCE_ADVICE = {
-    "extreme": ["collect more minority samples", "oversample with SMOTE or ADASYN", "use weighted loss", "consider anomaly detection"],
-    "severe": ["oversample with SMOTE or Borderline-SMOTE", "consider ensembles", "use class weights"],
-    "moderate": ["use SMOTE or random undersampling", "measure balanced accuracy"],
-    "mild": ["standard approaches should work", "watch for biased predictions"],
-    "balanced": [],
-}
+#: Imbalance ratios above which a severity begins.
+SEVERITIES = {"mild": 3, "moderate": 10, "severe": 20, "extreme": 100}
 
 
 def imbalance(df: DataFrame, label: str) -> DataFrame:
@@ -29,13 +23,14 @@ def imbalance(df: DataFrame, label: str) -> DataFrame:
     return row.withColumn("imbalance_ratio", ratio(F.col("majority"), F.col("minority"))).withColumns({
         "minority_pct": ratio(F.col("minority") * 100.0, F.col("n_rows")),
         "g_mean": F.sqrt(ratio(F.col("minority"), F.col("n_rows")) * ratio(F.col("majority"), F.col("n_rows"))),
-        "severity": F.when(r > 100, "extreme").when(r > 20, "severe").when(r > 10, "moderate").when(r > 3, "mild").otherwise("balanced")})
+        "severity": F.coalesce(*[F.when(r > t, n) for n, t in reversed(SEVERITIES.items())], F.lit("balanced"))})
 
 
-def imbalance_advice(df: DataFrame, label: str) -> DataFrame:
-    """severity, position, advice."""
-    table = F.create_map(*[x for s, a in IMBALANCE_ADVICE.items() for x in (F.lit(s), F.array(*[F.lit(t) for t in a]).cast("array<string>"))])
-    return imbalance(df, label).select("severity", F.posexplode(F.try_element_at(table, F.col("severity"))).alias("position", "advice"))
+def imbalance_rules(df: DataFrame, label: str) -> DataFrame:
+    """rule, measured, threshold: one row per severity whose limit the imbalance ratio passes."""
+    limits = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(float(t)).alias("threshold")) for n, t in SEVERITIES.items()])
+    met = imbalance(df, label).select(F.col("imbalance_ratio").alias("measured"), F.explode(limits).alias("_m"))
+    return met.where(F.col("measured") > F.col("_m.threshold")).select("_m.rule", "measured", "_m.threshold")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

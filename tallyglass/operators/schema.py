@@ -24,12 +24,6 @@ PATTERNS = [
 # Names that mark an id column.
 NUMBER_ID_NAMES = ["id", "id_", "_id", "key", "pk", "primary_key"]
 STRING_ID_NAMES = NUMBER_ID_NAMES + ["uuid"]
-# Advice per pattern.
-PATTERN_ADVICE = {
-    "email": "validate email format", "phone": "standardise phone numbers", "date": "keep one date format",
-    "credit_card": "ensure payment card compliance", "postal_code": "validate geographic consistency",
-    "ip_address": "consider geolocation", "uuid": "check identifier integrity",
-}
 DATE_FORMATS = ["MM/dd/yyyy", "dd-MM-yyyy"]
 ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 MATCH_SHARE, PARSE_SHARE, ID_RATIO, UNIQUE_RATIO = 0.8, 0.8, 0.9, 0.95
@@ -68,22 +62,28 @@ def infer_types(df: DataFrame, review_below: float = 0.8, cols: Sequence[str] |
         "column", "inferred_type", "confidence", (F.col("confidence") < review_below).alias("needs_review"), "nullable", "distinct_count")
 
 
-def decimal_text(c: str, scale: int = 12) -> Column:
-    """Plain digits of a number without exponent or trailing zeros."""
-    fixed = F.abs(F.col(c)).cast(f"decimal(38,{scale})").cast("string")
-    return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+def number_text(c: str) -> tuple[Column, Column]:
+    """(significant digits without leading zeros, exponent of the last of them) of a number's shortest decimal text."""
+    text = F.upper(F.abs(F.col(c)).cast("string"))
+    mantissa = F.regexp_extract(text, r"^([0-9.]+)", 1)
+    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    decimals = F.length(F.regexp_extract(mantissa, r"\.(\d+)$", 1))
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), r"^0+", "")
+    kept = F.regexp_replace(digits, r"0+$", "")
+    return kept, F.when(kept == "", 0).otherwise(power - decimals + F.length(digits) - F.length(kept))
 
 
 def precision_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """column, precision, scale: largest digit and decimal counts over all rows."""
+    """column, precision, scale: largest digit and decimal counts over all rows, of numbers of any size; a zero before the point counts as a digit."""
     types, stats = {f.name: f.dataType for f in df.schema}, {}
     for c in cols or numeric_columns(df):
         if isinstance(types[c], T.IntegralType):
             digits, decimals = F.max(F.length(F.abs(F.col(c).cast("decimal(38,0)")).cast("string"))), F.max(F.lit(0))
         else:
-            text = decimal_text(c)
-            digits = F.max(F.length(F.regexp_replace(text, r"\.", "")))
-            decimals = F.max(F.length(F.regexp_extract(text, r"\.(\d+)$", 1)))
+            kept, last = number_text(c)
+            finite = F.col(c).isNotNull() & ~F.isnan(dbl(c)) & (F.abs(dbl(c)) < float("inf"))
+            size = F.greatest(F.length(kept) + F.greatest(last, F.lit(0)), -last + F.when(F.length(kept) + last <= 0, 1).otherwise(0), F.lit(1))
+            digits, decimals = F.max(F.when(finite, size)), F.max(F.when(finite, F.greatest(-last, F.lit(0))))
         stats[c] = {"precision": digits.cast("long"), "scale": decimals.cast("long")}
     return per_column(df, stats)
 
@@ -224,15 +224,16 @@ def contract_summary(contract: DataFrame) -> DataFrame:
         names(F.col("pattern").isNotNull()).alias("pattern_columns"), F.round(100 - F.avg("missing_pct"), 2).alias("quality_score"))
 
 
-def column_advice(contract: DataFrame) -> DataFrame:
-    """column, advice rows: ids, missing over 20 %, duplicates over 10 %, and pattern advice."""
-    by_pattern = F.create_map(*[x for p, a in PATTERN_ADVICE.items() for x in (F.lit(p), F.lit(a))])
-    advice = F.array(
-        F.when(F.col("unique"), "likely id column: leave out of the features"),
-        F.when(F.col("missing_pct") > 20, "high missing share: check the collection"),
-        F.when(F.col("duplicate_pct") > 10, "high duplicate share: consider deduplication"),
-        F.when(F.col("pattern").isNotNull(), F.try_element_at(by_pattern, F.col("pattern"))))
-    return contract.select("column", F.explode(F.filter(advice, lambda x: x.isNotNull())).alias("advice"))
+def column_rules(contract: DataFrame) -> DataFrame:
+    """column, rule, measured, threshold: the rules that a column of the contract meets."""
+    rule = lambda test, name, measured, limit: F.when(test, F.struct(
+        name.alias("rule"), measured.cast("double").alias("measured"), F.lit(limit).cast("double").alias("threshold")))
+    met = F.array(
+        rule(F.col("unique"), F.lit("unique"), F.col("uniqueness_ratio"), UNIQUE_RATIO),
+        rule(F.col("missing_pct") > 20, F.lit("missing_pct"), F.col("missing_pct"), 20),
+        rule(F.col("duplicate_pct") > 10, F.lit("duplicate_pct"), F.col("duplicate_pct"), 10),
+        rule(F.col("pattern").isNotNull(), F.concat(F.lit("pattern_"), F.col("pattern")), F.lit(None), MATCH_SHARE))
+    return contract.select("column", F.explode(F.filter(met, lambda x: x.isNotNull())).alias("_m")).select("column", "_m.rule", "_m.measured", "_m.threshold")
 
 
 def schema_table(df: DataFrame) -> DataFrame:

@@ -257,6 +257,26 @@ def f19(spark, d):
     return rounded(T.vif(li, ["l_quantity", "mixed"]), 3)
 
 
+def solved_vif_sql(cols: dict[str, str], relation: str) -> str:
+    """(column, vif) for three columns: 1 / (1 - R²) of one on the two others, from correlations."""
+    parts = []
+    for c, x in cols.items():
+        (_, y), (_, z) = [(n, e) for n, e in cols.items() if n != c]
+        parts.append(f"""SELECT '{c}' AS "column", 1 / (1 - (a * a + b * b - 2 * a * b * e) / (1 - e * e)) AS vif FROM (SELECT corr({x}, {y}) AS a, corr({x}, {z}) AS b, corr({y}, {z}) AS e FROM {relation})""")
+    return union_sql(parts)
+
+
+MIXED = {"l_quantity": "l_quantity", "l_discount": "l_discount", "mixed": "l_discount * 2 + l_tax"}
+
+
+@query("f19_vif_with_a_copy", f"""SELECT * FROM (SELECT unnest(['l_quantity', 'copy']) AS "column", 'Infinity'::DOUBLE AS vif, 'severe' AS level)
+  UNION ALL SELECT "column", round(vif, 3), CASE WHEN vif > 10 THEN 'severe' WHEN vif > 5 THEN 'high' ELSE 'ok' END FROM ({solved_vif_sql(MIXED, "lineitem")}) WHERE "column" <> 'l_quantity'""")
+def f19b(spark, d):
+    """An exact copy makes two columns infinite and leaves the others as they are without it."""
+    li = table(spark, d, "lineitem").withColumns({"copy": F.col("l_quantity") * 3, "mixed": F.col("l_discount") * 2 + F.col("l_tax")})
+    return rounded(T.vif(li, ["l_quantity", "copy", "l_discount", "mixed"]), 3)
+
+
 @query("f20_variances", per_column_sql(NUMBERS, "round(var_pop({c}), 4) AS variance, var_pop({c}) <= 0.01 AS removed"))
 def f20(spark, d):
     return rounded(T.variances(table(spark, d, "lineitem"), NUMBERS), 4)
@@ -289,9 +309,22 @@ def f22(spark, d):
     return T.prune(li, "l_extendedprice")[1]
 
 
-@query("f23_interactions_pruned")
+PRODUCTS = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_quantity_x_l_extendedprice": "l_quantity * l_extendedprice"}
+
+
+@query("f23_interactions_pruned", f"""WITH v AS ({solved_vif_sql(PRODUCTS, "lineitem")})
+  SELECT "column" FROM (SELECT unnest(['l_orderkey', 'l_quantity', 'l_extendedprice', 'l_quantity_x_l_extendedprice']) AS "column") WHERE "column" NOT IN (SELECT "column" FROM v WHERE vif > 5)""")
 def f23(spark, d):
-    return T.interactions_pruned(table(spark, d, "lineitem").select("l_orderkey", *NUMBERS), ["l_quantity", "l_discount", "l_tax"])
+    kept = T.interactions_pruned(table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(c,) for c in kept.columns], "column string")
+
+
+@query("f10_one_hot_vectors", """SELECT o_orderkey, (SELECT count(DISTINCT o_custkey) FROM orders)::INTEGER - 1 AS size, CASE WHEN code > 0 THEN code - 1 END AS place FROM (
+  SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_custkey::VARCHAR) - 1)::INTEGER AS code FROM orders)""")
+def f10b(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
+    v = T.one_hot_vectors(o, ["o_custkey"])
+    return v.select("o_orderkey", F.col("o_custkey_onehot.size").cast("int").alias("size"), F.try_element_at("o_custkey_onehot.indices", F.lit(1)).cast("int").alias("place"))
 
 
 @query("f24_features_reloaded", "SELECT c_custkey, c_mktsegment, round(c_acctbal / (SELECT stddev_samp(c_acctbal) FROM customer), 5) AS first_feature FROM customer")

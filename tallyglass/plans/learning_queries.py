@@ -26,12 +26,10 @@ def l01(spark, d):
     return rounded(S.imbalance(table(spark, d, "labels"), "toxic"))
 
 
-ADVICE = union_sql([f"SELECT '{s}' AS severity, {i}::INTEGER AS position, '{t}' AS advice" for s, a in S.IMBALANCE_ADVICE.items() for i, t in enumerate(a)])
-
-
-@query("l02_imbalance_advice", f"SELECT a.* FROM ({ADVICE}) a JOIN ({IMBALANCE}) i ON i.severity = a.severity")
+@query("l02_imbalance_rules", f"""SELECT rule, round(imbalance_ratio, 6) AS measured, threshold FROM ({IMBALANCE}),
+  (VALUES ('mild', 3::DOUBLE), ('moderate', 10), ('severe', 20), ('extreme', 100)) t(rule, threshold) WHERE imbalance_ratio > threshold""")
 def l02(spark, d):
-    return S.imbalance_advice(table(spark, d, "labels"), "toxic")
+    return rounded(S.imbalance_rules(table(spark, d, "labels"), "toxic"))
 
 
 @query("l03_undersample", f"""SELECT p_partkey, klass FROM (SELECT p_partkey, klass, row_number() OVER (PARTITION BY klass ORDER BY {order_hash('p_partkey')}, p_partkey) AS r FROM {PARTS})

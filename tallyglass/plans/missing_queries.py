@@ -75,8 +75,7 @@ RATE = "round((" + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in ALL_GAPS
 
 
 @query("m07_completeness_score", f"""SELECT round(100 - r, 2) AS quality_score, CASE WHEN r < 5 THEN 'low' WHEN r < 20 THEN 'medium' ELSE 'high' END AS impact,
-  CASE WHEN 100 - r >= 95 THEN 'proceed with analysis' WHEN 100 - r >= 80 THEN 'impute selected columns' WHEN 100 - r >= 60 THEN 'impute systematically'
-  ELSE 'improve collection or replace the data' END AS advice FROM (SELECT {RATE} AS r FROM {GAPS})""")
+  (100 - r < 95)::INTEGER + (100 - r < 80)::INTEGER + (100 - r < 60)::INTEGER AS limits_missed FROM (SELECT {RATE} AS r FROM {GAPS})""")
 def m07(spark, d):
     return M.completeness_score(gaps(spark, d))
 
@@ -218,6 +217,13 @@ def i02(spark, d):
     return S.precision_scale(table(spark, d, "lineitem"), ["l_orderkey", "l_extendedprice", "l_discount"])
 
 
+# numbers far outside of what a decimal holds
+@query("i02_precision_scale_extremes", """SELECT unnest(['huge', 'tiny', 'none']) AS "column", unnest([31, 17, 1])::BIGINT AS precision, unnest([0, 16, 0])::BIGINT AS scale WHERE (SELECT count(*) FROM lineitem) > 0""")
+def i02b(spark, d):
+    li = table(spark, d, "lineitem").select(F.lit(1e30).alias("huge"), F.when(F.col("l_linenumber") == 1, 1.5e-15).otherwise(0.25).alias("tiny"), F.lit(0.0).alias("none"))
+    return S.precision_scale(li, ["huge", "tiny", "none"])
+
+
 def id_sql(c, hint):
     return f"""SELECT '{c}' AS "column", round(u, 6) AS uniqueness_ratio, u >= 0.9 AND ({hint} OR u >= 0.95) AS is_id FROM (
       SELECT count(DISTINCT {c}) / count(*)::DOUBLE AS u, count(*) AS n, min({c}) AS lo, max({c}) AS hi FROM orders)"""
@@ -318,11 +324,12 @@ def i10(spark, d):
     return S.contract_summary(contract(spark, d))
 
 
-@query("i11_column_advice", f"""WITH c AS ({contract_sql()}) SELECT "column", 'likely id column: leave out of the features' AS advice FROM c WHERE "unique"
-  UNION ALL SELECT "column", 'high duplicate share: consider deduplication' FROM c WHERE duplicate_pct > 10
-  UNION ALL SELECT "column", 'validate email format' FROM c WHERE pattern = 'email' UNION ALL SELECT "column", 'keep one date format' FROM c WHERE pattern = 'date'""")
+@query("i11_column_rules", f"""WITH c AS ({contract_sql()}) SELECT "column", 'unique' AS rule, round(uniqueness_ratio, 4) AS measured, 0.95::DOUBLE AS threshold FROM c WHERE "unique"
+  UNION ALL SELECT "column", 'missing_pct', round(missing_pct, 4), 20 FROM c WHERE missing_pct > 20
+  UNION ALL SELECT "column", 'duplicate_pct', round(duplicate_pct, 4), 10 FROM c WHERE duplicate_pct > 10
+  UNION ALL SELECT "column", 'pattern_' || pattern, NULL, 0.8 FROM c WHERE pattern IS NOT NULL""")
 def i11(spark, d):
-    return S.column_advice(contract(spark, d))
+    return rounded(S.column_rules(contract(spark, d)), 4)
 
 
 @query("i12_schema_differences", """SELECT name AS "column", issue FROM (SELECT name, 'missing' AS issue FROM (SELECT unnest(['o_orderkey', 'o_totalprice', 'o_comment']) AS name

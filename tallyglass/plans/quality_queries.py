@@ -84,10 +84,23 @@ def q05c(spark, d):
     return rounded(Q.dataset_drift(Q.drift_report(b, a, ["o_totalprice", "o_custkey"], ["o_orderstatus"])))
 
 
-@query("q05_drift_report")
+REPORT_SQL = f"""WITH n AS ({union_sql([cdf_sql("o_totalprice"), cdf_sql("o_custkey")])}),
+  c AS ({union_sql([f"""SELECT '{c}' AS "column", {JS} AS js FROM ({shares_sql(c)})""" for c in ("o_orderstatus", "o_orderpriority")])})
+  SELECT "column", 'numeric' AS kind, wasserstein AS statistic, wasserstein >= 0.1 AS drifted FROM n UNION ALL SELECT "column", 'categorical', round(js, 6), js >= 0.1 FROM c"""
+
+
+@query("q05_drift_report", REPORT_SQL)
 def q05d(spark, d):
     a, b = before_after(spark, d)
-    return Q.drift_report(b, a, ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"])
+    return rounded(Q.drift_report(b, a, ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]).drop("p_value"))
+
+
+# p-values as a rule, with clear differences: prices raised by a fifth, and every status turned to 'F'
+@query("q05_drift_by_p_value", """SELECT unnest(['o_totalprice', 'o_custkey', 'o_orderstatus']) AS "column", unnest([true, false, true]) AS drifted WHERE (SELECT count(*) FROM orders) > 0""")
+def q05e(spark, d):
+    o = table(spark, d, "orders").select("o_totalprice", "o_custkey", "o_orderstatus")
+    changed = o.withColumns({"o_totalprice": F.col("o_totalprice") * 1.5, "o_orderstatus": F.lit("F")})
+    return Q.drift_report(changed, o, ["o_totalprice", "o_custkey"], ["o_orderstatus"], rule="p_value").select("column", "drifted")
 
 
 @query("q06_psi", union_sql([f"""SELECT '{c}' AS "column", round({PSI}, 6) AS psi, {PSI} > 0.25 AS drifted FROM ({shares_sql(c)})""" for c in ("o_orderstatus", "o_orderpriority")]))
@@ -102,6 +115,12 @@ def q07(spark, d):
     return rounded(Q.target_drift(b, a, "o_orderstatus").drop("p_value"))
 
 
+@query("q07_numeric_target_drift", f"""SELECT "column", 'numeric' AS kind, wasserstein AS statistic, wasserstein >= 0.1 AS drifted FROM ({cdf_sql("o_totalprice", shift=" * 1.2")})""")
+def q07b(spark, d):
+    a, b = before_after(spark, d)
+    return rounded(Q.target_drift(b.withColumn("o_totalprice", F.col("o_totalprice") * 1.2), a, "o_totalprice").drop("p_value"))
+
+
 @query("q08_failed_share", f"""WITH t AS ({per_column_sql(ALL_GAPS, "count(*) FILTER ({c} IS NULL) / count(*)::DOUBLE <= 0.1 AS passed", GAPS)})
   SELECT count(*) AS tests, count(*) FILTER (NOT passed) AS failed, round(count(*) FILTER (NOT passed) / count(*)::DOUBLE, 6) AS failure_rate FROM t""")
 def q08(spark, d):

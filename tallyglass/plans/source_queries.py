@@ -35,6 +35,16 @@ def s02(spark, d):
     return R.read_parquet(spark, f"{d}/orders.parquet").where(F.col("o_orderdate") >= F.lit(datetime(2000, 1, 1))).select("o_orderkey", "o_totalprice")
 
 
+@query("s02_nan_is_missing", "SELECT unnest(['parquet', 'json']) AS kind, count(*) AS n_rows, count(*) FILTER (o_custkey % 3 = 0) AS missing FROM orders")
+def s02b(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("price"))
+    frames = []
+    for kind in ("parquet", "json"):
+        path = T.write_table(o, fresh_path(spark, "gaps") + f".{kind}", kind)
+        frames.append(R.load_table(spark, path, schema=o.schema).agg(F.count("*").alias("n_rows"), (F.count("*") - F.count("price")).alias("missing")).select(F.lit(kind).alias("kind"), "n_rows", "missing"))
+    return frames[0].unionByName(frames[1])
+
+
 @query("s03_read_json", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def s03(spark, d):
     path = T.write_table(table(spark, d, "orders"), fresh_path(spark, "orders.json"), "json")
@@ -51,7 +61,8 @@ def s04(spark, d):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query("s05_capped_load")
+@query("s05_capped_load", """SELECT * FROM lineitem ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
+  CAST(l_extendedprice AS VARCHAR), '42')), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 10000""")
 def s05(spark, d):
     return R.capped_load(spark, f"{d}/lineitem.parquet", keys=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 

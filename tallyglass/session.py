@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app_name: str = "tallyglass", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with AQE, UTC and Arrow on; `master` only for local use."""
+def build_session(app_name: str = "tallyglass", master: str | None = None, ship: bool = True, **conf: str) -> SparkSession:
+    """Session with AQE, UTC and Arrow on; `master` only for local use.
+
+    With `ship`, executors get this package from the driver; without, it must be
+    installed on them.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -22,7 +28,23 @@ def build_session(app_name: str = "tallyglass", master: str | None = None, **con
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if ship:
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors; the driver need not start in its folder."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tallyglass-ship-"), "tallyglass-modules.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -22,13 +22,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return null_free_floats(spark.read.parquet(path))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, records_array: bool = False) -> DataFrame:
     """JSON lines (splittable), or one array of records per file."""
     reader = spark.read.option("multiLine", records_array)
-    return (reader.schema(schema) if schema else reader).json(path)
+    return null_free_floats((reader.schema(schema) if schema else reader).json(path))
 
 
 def format_of(path: str, fmt: str | None = None) -> str:
@@ -52,12 +52,13 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
     return read_parquet(spark, path)
 
 
-def capped_load(spark: SparkSession, path: str, rows: int = DEFAULT_SAMPLE_ROWS, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
-    """First `rows` CSV rows, or a seeded sample of that many rows of any other format."""
+def capped_load(spark: SparkSession, path: str, rows: int = DEFAULT_SAMPLE_ROWS, seed: int = 42, keys: Sequence[str] = (), mode: str | None = None) -> DataFrame:
+    """At most `rows` rows: mode "first" (the rows read first; default for CSV) or "sample" (seeded; default for other formats). Both are lazy."""
     df = load_table(spark, path)
-    if format_of(path) == "csv":
-        return spark.createDataFrame(df.take(rows), df.schema)      # take reads only as many files as it needs
-    return seeded_sample(df, rows, keys or df.columns, seed)
+    mode = mode or ("first" if format_of(path) == "csv" else "sample")
+    if mode not in ("first", "sample"):
+        raise ValueError(f"unknown mode: {mode}")
+    return df.limit(rows) if mode == "first" else seeded_sample(df, rows, keys or df.columns, seed)
 
 
 def seeded_sample(df: DataFrame, rows: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -215,3 +215,64 @@ def test_models_learn_an_easy_class(spark):
         options = {"maxIter": 5} if name in ("gradient_boosting",) else {}
         assert L.train_and_score(train, test, ["a", "b"], "y", name, **options).first()["accuracy"] >= floor
     assert not L.shuffled_target_test(df, ["a", "b"], "y", ["id"]).first()["leakage_detected"]
+
+
+def test_variance_inflation_of_dependent_columns_only():
+    import numpy as np
+    from tallyglass.functions.smallmath import variance_inflation
+
+    r = np.random.default_rng(0)
+    a, b, c, e = r.normal(size=(4, 500))
+    d = c + 0.1 * e
+    made = variance_inflation(np.corrcoef([a, 2 * a, b, c, d]))
+    assert made[0] == made[1] == float("inf")
+    assert np.allclose(made[2:], np.diag(np.linalg.inv(np.corrcoef([a, b, c, d])))[1:])
+
+
+def test_drift_verdict_does_not_depend_on_the_number_of_rows(spark):
+    from pyspark.sql import functions as F
+    from tallyglass.operators import quality as Q
+
+    for rule in ("effect", "p_value"):
+        verdicts = []
+        for n in (1000, 1001):
+            base = spark.range(n).select((F.col("id") / n).alias("x"))
+            moved = base.select((F.col("x") + 0.05).alias("x"))
+            verdicts.append(Q.numeric_drift(moved, base, ["x"], rule=rule).first()["drifted"])
+        assert verdicts[0] == verdicts[1]
+
+
+def test_knn_imputation_of_forty_columns(spark):
+    from pyspark.sql import functions as F
+    from tallyglass.operators.imputation import impute_knn
+
+    cols = [f"c{i}" for i in range(40)]
+    rows = spark.range(30).select("id", *[F.when((F.col("id") != 3) | (F.lit(i) != 35), F.col("id") + i).cast("double").alias(c) for i, c in enumerate(cols)])
+    assert impute_knn(rows, "id", cols, 2).where("id = 3").first()["c35"] == 38.0
+
+
+def test_too_many_interactions_are_an_error(spark):
+    from tallyglass.operators.features import interactions
+
+    df = spark.createDataFrame([tuple(range(20))], [f"c{i}" for i in range(20)])
+    assert len(interactions(df).columns) == 20 + 190
+    with pytest.raises(ValueError):
+        interactions(df, most=100)
+
+
+def test_package_reaches_workers_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from tallyglass import build_session
+from tallyglass.operators.sampling import smote
+spark = build_session("ship", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}})
+rows = spark.range(60).selectExpr("id", "if(id < 10, 'a', 'b') AS k", "array(double(id), double(id % 7)) AS v")
+print("MADE", smote(rows, "id", "v", "k").where("k = 'a'").count())
+"""
+    made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300)
+    assert "MADE 50" in made.stdout, made.stderr[-2000:]
