@@ -205,8 +205,16 @@ def _within(column: str, bracket: tuple) -> Column:
 
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     """Exact quantiles per group as columns q0, q1, …; hot groups are split by value range."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(value_counts_of(df, value, by), probs, by)
+
+
+def value_counts_of(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by…, _v, _n): how often each value stands in each group, nulls left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """grouped_quantiles from the table of value_counts_of, which is read several times: materialise it first."""
     run = running_totals(counts, "_v", ["_n"], by=by, few_groups=False)
     first, last, total = F.col("before__n"), F.col("before__n") + F.col("_n"), F.col("total__n")
     picks, out = [], []

@@ -45,11 +45,10 @@ def detect_pii(df: DataFrame, key: str, text: str) -> DataFrame:
     The gaps between the matches give the positions; no match leaves the row early.
     """
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    kinds = F.array(*[F.struct(F.lit(k).alias("pii_type"), F.lit(p).alias("_p")) for k, p in PII_PATTERNS.items()])
-    # Most texts hold no match of most kinds: test first, then extract and split only where it pays.
-    present = F.filter(kinds, lambda s: F.regexp_like(F.col(text), s["_p"]))
-    rows = df.where(F.col(text).isNotNull()).select(key, text, F.explode(present).alias("s"))
-    rows = rows.select(key, "s.pii_type", F.regexp_extract_all(F.col(text), F.col("s._p"), F.lit(0)).alias("values"), F.split(F.col(text), F.col("s._p"), -1).alias("gaps"))
+    # Literal patterns, each compiled once; most texts hold no match of most kinds: test first, then extract and split only where it pays.
+    found = F.array(*[F.when(F.col(text).rlike(p), F.struct(F.lit(k).alias("pii_type"), pii_matches(F.col(text), k).alias("values"), F.split(F.col(text), p, -1).alias("gaps")))
+                      for k, p in PII_PATTERNS.items()])
+    rows = df.where(F.col(text).isNotNull()).select(key, F.explode(F.filter(found, lambda s: s.isNotNull())).alias("s")).select(key, "s.pii_type", "s.values", "s.gaps")
     rows = rows.withColumn("_g", F.transform("gaps", F.length)).withColumn("_m", F.transform("values", F.length))
     rows = rows.select(key, "pii_type", "_g", "_m", F.posexplode("values").alias("_i", "value"))
     start = total(F.slice("_g", 1, F.col("_i") + 1)) + total(F.slice("_m", 1, F.col("_i")))
@@ -102,6 +101,7 @@ def key_sentences(text: Column, most: int = 2) -> Column:
     """The `most` sentences with most key words, earlier first on ties; short texts as they are.  Stays inside the row."""
     sentences = F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     score = lambda s: sum([F.regexp_count(s, F.lit(p)) for p in KEY_PATTERNS], F.lit(0))
-    ranked = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-score(s)).alias("k"), i.alias("i"), s.alias("s"))))
-    best = F.transform(F.slice(ranked, 1, most), lambda r: r["s"])
-    return F.when(F.size(sentences) <= most, text).otherwise(F.concat(F.array_join(best, ". "), F.lit(".")))
+    ranked = lambda ss: F.sort_array(F.transform(ss, lambda s, i: F.struct((-score(s)).alias("k"), i.alias("i"), s.alias("s"))))
+    best = lambda ss: F.transform(F.slice(ranked(ss), 1, most), lambda r: r["s"])
+    chosen = lambda ss: F.when(F.size(ss) <= most, text).otherwise(F.concat(F.array_join(best(ss), ". "), F.lit(".")))
+    return F.transform(F.array(sentences), chosen)[0]           # one split for the test and the ranking

@@ -165,7 +165,7 @@ def fitted(spark, d, *names, **params):
 
 @query("l16_tree_models")
 def l16(spark, d):
-    return fitted(spark, d, "decision_tree", "random_forest", "gradient_boosting", random_forest={"numTrees": 20}, gradient_boosting={"maxIter": 5})
+    return fitted(spark, d, "decision_tree", "random_forest", "gradient_boosting")
 
 
 @query("l17_logistic_and_bayes")
@@ -182,7 +182,7 @@ def l17b(spark, d):
 
 @query("l18_linear_svm")
 def l18(spark, d):
-    return fitted(spark, d, "svm", svm={"maxIter": 20})
+    return fitted(spark, d, "svm")
 
 
 @query("l19_knn_classify", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), n AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r
@@ -280,7 +280,7 @@ def l29(spark, d):
 @query("l30_cross_validation")
 def l30(spark, d):
     data = table(spark, d, "orders").withColumn("label", (F.col("o_totalprice") > 150 * F.col("o_custkey")).cast("int"))
-    return L.cross_validate(data, ["o_totalprice", "o_custkey"], "label", ["o_orderkey"], "decision_tree", folds=3)
+    return L.cross_validate(data, ["o_totalprice", "o_custkey"], "label", ["o_orderkey"], "decision_tree", folds=5)
 
 
 @query("l31_shuffled_target_test")

@@ -142,7 +142,7 @@ def linear_gaps(spark, d):
 
 @query("m10_impute_iterative")
 def m10(spark, d):
-    return I.impute_iterative(linear_gaps(spark, d), ["l_quantity", "tax", "mixed"], max_iter=5)
+    return I.impute_iterative(linear_gaps(spark, d), ["l_quantity", "tax", "mixed"])
 
 
 # The shares of missing values differ little, so the mechanism is MCAR and the fill is the median.
