@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.operators import features as T, outliers as O
+from tallyglass.operators.fitted import FittedSteps, Step, fit_steps
 from tallyglass.plans.catalog import query, rounded, union_sql
-from tallyglass.plans.inputs import GAPS, gaps, table, vectors
+from tallyglass.plans.inputs import AFTER, BEFORE, GAPS, before_after, gaps, table, vectors
 from tallyglass.plans.profile_queries import NUMBERS, per_column_sql
 from tallyglass.session import fresh_path
 
@@ -327,6 +328,20 @@ def f10b(spark, d):
     return v.select("o_orderkey", F.col("o_custkey_onehot.size").cast("int").alias("size"), F.try_element_at("o_custkey_onehot.indices", F.lit(1)).cast("int").alias("place"))
 
 
+@query("f24_fit_before_apply_after", f"""WITH b AS (SELECT * FROM {BEFORE}), m AS (SELECT avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS s, median(o_totalprice) AS mid FROM b),
+  t AS (SELECT o_orderpriority AS p, avg(o_totalprice) AS mean, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INTEGER AS code FROM b GROUP BY 1)
+  SELECT o_orderkey, round((price - a) / s, 6) AS price_scaled, code AS o_orderpriority_code, round(coalesce(t.mean, a), 4) AS o_orderpriority_target_encoded FROM (
+    SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN mid ELSE o_totalprice END AS price, a, s FROM {AFTER}, m) LEFT JOIN t ON p = o_orderpriority""")
+def f24b(spark, d):
+    """Fitted on the orders before the cut, saved, loaded, applied to those after it, whose gaps are filled with the earlier median."""
+    before, after = before_after(spark, d)
+    before, after = before.withColumn("price", F.col("o_totalprice")), after.withColumn("price", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
+    steps = [Step("impute", "price", {"strategy": "median"}), Step("scale", "price"), Step("label", "o_orderpriority"), Step("target", "o_orderpriority", {"target": "o_totalprice"})]
+    path = fit_steps(before, steps).save(fresh_path(spark, "fitted-steps"))
+    made = FittedSteps.load(spark, path).transform(after).select("o_orderkey", "price_scaled", "o_orderpriority_code", "o_orderpriority_target_encoded")
+    return made.withColumns({"price_scaled": F.round("price_scaled", 6), "o_orderpriority_target_encoded": F.round("o_orderpriority_target_encoded", 4)})
+
+
 @query("f24_features_reloaded", "SELECT c_custkey, c_mktsegment, round(c_acctbal / (SELECT stddev_samp(c_acctbal) FROM customer), 5) AS first_feature FROM customer")
 def f24(spark, d):
     from pyspark.ml.functions import vector_to_array

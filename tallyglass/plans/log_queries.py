@@ -98,6 +98,13 @@ def clean_sql(text):
     return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({text}, '{dangerous}', '', 'g'), '{G.TAG_PATTERN}', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g')"
 
 
+# links that stand in a text: the pattern ends at '#'
+@query("g05_extract_urls_of_pages", "SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages WHERE url IS NOT NULL")
+def g05c(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("see "), "url", F.lit(" or nothing")).alias("text"))
+    return G.extract_urls(p, "page_id", "text")
+
+
 @query("g06_clean_text", f"SELECT page_id, {clean_sql('html')} AS cleaned FROM pages")
 def g06(spark, d):
     return table(spark, d, "pages").select("page_id", G.clean_text(F.col("html")).alias("cleaned"))

@@ -276,3 +276,20 @@ print("MADE", smote(rows, "id", "v", "k").where("k = 'a'").count())
 """
     made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300)
     assert "MADE 50" in made.stdout, made.stderr[-2000:]
+
+
+def test_fitted_steps_apply_what_the_first_table_taught(spark):
+    from tallyglass.operators.fitted import FittedSteps, Step, fit_steps
+
+    train = spark.createDataFrame([(float(i), "ab"[i % 2], float(i % 2)) for i in range(200)] + [(5.0, "z", 1.0), (None, None, None)], "x double, k string, y double")
+    steps = [Step("impute", "x"), Step("log", "x"), Step("boxcox", "x"), Step("scale", "x", {"method": "minmax"}), Step("bins", "x", {"bins": 4}), Step("target", "k", {"target": "y"}),
+             Step("rare", "k", {"limit": 0.1}), Step("label", "k"), Step("hash", "k", {"width": 4})]
+    fitted = FittedSteps.load(spark, fit_steps(train, steps).save(fresh_path(spark, "steps")))
+    new = spark.createDataFrame([(None, "a"), (398.0, "z"), (-10.0, "new"), (0.0, None)], "x double, k string")
+    a, z, unknown, empty = sorted(fitted.transform(new).collect(), key=lambda r: ["a", "__OTHER__", "__OTHER__", None].index(r["k"]) if r["x"] != -10.0 else 2)
+    assert a["x"] == 99.0 and a["k_target_encoded"] == 0.0 and a["k"] == "a"
+    assert z["x_scaled"] == 2.0 and z["x_binned"] == "Q4" and z["k"] == "__OTHER__" and z["k_target_encoded"] == 1.0
+    assert unknown["x_log"] is None and unknown["x_boxcox"] is None and unknown["x_binned"] == "Q1" and abs(unknown["k_target_encoded"] - 101 / 201) < 1e-9
+    assert empty["k"] is None and empty["k_code"] is None and sum(abs(empty[f"k_hash_{i}"]) for i in range(4)) == 1.0
+    with pytest.raises(ValueError):
+        Step("guess", "x")
