@@ -171,10 +171,10 @@ def write_archives(records: DataFrame, folder: str | None = None, frame_bytes: i
     return keep_table(records.select("page_id", "url", "payload", "digest", "size", "refers_to").mapInArrow(write, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
     """The records that the index rows name (all, or those a filter leaves), with the columns of RECORD.
 
-    Frames are dealt to tasks; each is read by its range in the bundle and unpacked once.
+    Frames are dealt to tasks of about `task_bytes`; each is read by its range in the bundle and unpacked once.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -192,7 +192,9 @@ def read_records(index: DataFrame) -> DataFrame:
                 rows = [parse_record(data[s["offset"]:s["offset"] + s["length"]]) for s in spans]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("spans"))
-    return frames.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(parse, RECORD)
+    # a row here stands for a frame of a megabyte: the number of tasks follows the records' bytes, not the rows'
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // task_bytes)
+    return frames.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(parse, RECORD)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
