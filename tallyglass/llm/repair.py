@@ -367,8 +367,9 @@ def repair_conversations(rows: DataFrame, segment_rows: int = SEGMENT_ROWS, segm
     rows only is returned, with zeros, an empty audit and the hash of nothing. No rows, no result.
     """
     whole = keep_table(_whole(_sorted_ranges(rows), segment_rows, segment_chars), "repaired")
-    cut = whole.where("cut").select(F.col("conv_id").alias("cut_id")).distinct()
+    cut = keep_table(whole.where("cut").select(F.col("conv_id").alias("cut_id")).distinct(), "cut-conversations")       # a table of its own: its size is known when the join is planned
     again = rows.join(cut, F.col("conv_id").eqNullSafe(F.col("cut_id")), "left_semi").withColumn("said", F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256))
+    again = keep_table(again, "cut-rows")
     order = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
     firsts = again.where("NOT dropped").groupBy(F.col("conv_id").alias("c"), F.col("said").alias("s")).agg(F.min(order).alias("first"))
     marked = again.join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("said") == F.col("s")), "left").select(
