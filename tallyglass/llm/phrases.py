@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyglass.llm.common import keep_table, only
 
 WIDTH, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_ENTRIES, MARK = 6_000_000, 1_500_000, 1 << 16
+SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 700_000, 1 << 16
 MOST_RANGES, MOST_MARKS, CUT_BYTES = 1 << 16, 1 << 19, 32
 STOPS = b".,;:!?\n\x0b\x0c\r"
 #: Stops become one kind, tabs become blanks.
@@ -220,7 +220,7 @@ def count(tokens: list[bytes], context: int, width: int = WIDTH) -> tuple[int, S
 
 
 def unite(parts: Iterable[Sorted], least: int = 1) -> Sorted:
-    """Sum the weights of equal phrases; those below `least` go, but for single words with phrases left."""
+    """Sum the weights of equal phrases; those below `least` go, but for single words with phrases left. The parts are used up."""
     parts = list(parts)
     words = sorted(set().union(*[p.words for p in parts]))
     v, number = max(len(words), 1), {w: i for i, w in enumerate(words)}
@@ -230,6 +230,7 @@ def unite(parts: Iterable[Sorted], least: int = 1) -> Sorted:
         keys, counts = [], []
         for p, known, up in zip(parts, new, above):
             label, parent, c = p.levels[depth]
+            p.levels[depth] = None                                 # read once
             place = up[parent]
             keys.append(np.where(place >= 0, place * v + known[label], -1))
             counts.append(c)

@@ -112,6 +112,6 @@ def test_cut_and_unite_lose_nothing():
                 got[p] += n
     assert +got == want
     asked = phrases.of_phrases([(b"w01",), (b"w02", b"w03"), (b"nowhere", b"w01"), (b"w02", b"w03", b"w04")])
-    whole = phrases.Automaton.of(phrases.unite(found))
+    whole = phrases.Automaton.of(phrases.unite(phrases.Automaton.of(f).unfold() for f in found))
     for length, weights in enumerate(whole.weights(asked), 1):
         assert [want[p] for p in asked.phrases(length)] == weights.tolist()
