@@ -79,7 +79,7 @@ def covering_masks(radius: int, level: int = 0) -> list[int]:
 
 def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that join what links of at most `radius` bits join among the members of one bucket."""
-    near = np.bitwise_count(members[:, None] ^ members[None, :]) <= radius
+    near = np.bitwise_count((members[:, None] ^ members[None, :]).view(np.uint64)) <= radius          # of a signed number it would count the absolute value
     left, found = np.ones(len(members), bool), []
     for root in range(len(members)):
         if left[root]:

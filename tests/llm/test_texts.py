@@ -143,6 +143,23 @@ def test_links_at_any_block_size(spark, block):
     assert ordered(map(sorted, groups.values())) == ordered(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_links_over_the_sign_bit(spark, block):
+    """A fingerprint, its 30 neighbours, and far ends that only a link across bit 63 joins; near complements must not link."""
+    from tallyglass.llm.graph import connected_components
+
+    r, prints = np.random.RandomState(5), set()
+    for _ in range(5):
+        at = int(r.randint(0, 1 << 62)) * 4 + int(r.randint(0, 4))
+        prints |= {at} | {at ^ 1 << b for b in range(30)} | {at ^ 1 << 63 ^ 1 << 40, at ^ 1 << 63 ^ 1 << 41 ^ 1 << 42 ^ 1 << 43, at ^ (1 << 64) - 1, at ^ (1 << 64) - 1 ^ 1 << 63}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    root = {n["node"] % (1 << 64): n["root"] for n in connected_components(simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), 4, block)).collect()}
+    want, groups = brute.components(prints), defaultdict(set)
+    for p in prints:
+        groups[root.get(p, p)].add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(q for q in prints if want[q] == c) for c in set(want.values()))
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
