@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyglass.llm.common import keep_table, map_rows, only
-from tallyglass.llm.vocab import word_ids
+from tallyglass.llm.vocab import chunks, word_ids
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, task_rank bigint"
 
@@ -34,13 +34,15 @@ def cut_pieces(docs: DataFrame, name: str, end_id: int, length: int, id_col: str
 
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(word_ids(text or "", name), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), length):
-                    part = ids[start:start + length]
-                    rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids), task, int(seen[len(part)])))
-                    seen[len(part)] += 1
+            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            rows: list[tuple] = []
+            for at, some in chunks(texts):
+                for doc_id, found in zip(doc_ids[at:], word_ids(some, name)):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
+                    for start in range(0, len(ids), length):
+                        part = ids[start:start + length]
+                        rows.append((doc_id, start, len(part), zlib.crc32(part), len(ids), task, int(seen[len(part)])))
+                        seen[len(part)] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]

@@ -36,6 +36,18 @@ def tokenizer(name: str):
     return made
 
 
+def chunks(texts: list[str], size: int = 1 << 19):
+    """(place of the first, texts) of successive texts of about `size` characters in all."""
+    at = total = 0
+    for i, text in enumerate(texts):
+        total += len(text)
+        if total >= size:
+            yield at, texts[at:i + 1]
+            at, total = i + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
+
+
 class Cache(dict):
     """unit -> what `make(unit)` gave; units over LONGEST_HELD characters are made each time."""
 
@@ -56,6 +68,27 @@ class Cache(dict):
         return map(self.__getitem__, units)
 
 
+class Generations:
+    """token -> what `make(token)` gave, in two generations of a bounded number of tokens: a full newer one becomes the older, and what is asked for again comes back. So frequent tokens stay."""
+
+    def __init__(self, make, most: int = 600_000):
+        self.make, self.most, self.new, self.old = make, most, {}, {}
+
+    def of(self, tokens: set[str]) -> dict:
+        """A dictionary with at least these tokens, until the next call."""
+        if len(self.new) > self.most // 2:
+            self.old, self.new = self.new, {}
+        lacking = tokens - self.new.keys()
+        again = lacking & self.old.keys()
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        lacking -= again
+        self.new.update(zip(lacking, map(self.make, lacking)))
+        if any(len(t) > LONGEST_HELD for t in lacking):            # not to be held: the next call starts without them
+            held, self.new = self.new, {t: v for t, v in self.new.items() if len(t) <= LONGEST_HELD}
+            return held
+        return self.new
+
+
 ODD_SPACE = re.compile("[\x1c-\x1f]")      # blanks to Python, symbols to the tokenizer's patterns
 
 
@@ -74,28 +107,38 @@ def as_letters(token: str) -> str:
     return token.encode().decode("latin-1").translate(LETTERS)
 
 
-#: Fixed value: the pre-token pattern of the word tokenizer, here for ASCII text in lower case.
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: White space, printable ASCII and the Latin letters up to U+017F that are their own composed form and have one small letter.
+LATIN_TEXT = re.compile("[ \t-\r!-~À-ÖØ-öø-įĲ-ňŊ-ž]*")
+#: Fixed value: the pre-token pattern of the word tokenizer, here for such text in lower case.
+LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-öø-ž]+")
 
 
 class Words:
-    """The library's own steps (normalise, cut, merge) for a unit without white space, with a cache of units and one of pre-tokens."""
+    """The library's own steps (normalise, cut, merge) with a cache of pre-tokens. Texts in Latin letters are cut as a whole; others by the library, each unit without white space once while it is held."""
 
     def __init__(self, name: str):
         self.library = tokenizer(name)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        merge = self.library.model.tokenize
-        self.tokens = Cache(lambda token: struct.pack(f"<{len(ids := [t.id for t in merge(token)])}I", *ids))
+        self.merge = self.library.model.tokenize
+        self.tokens = Generations(self._token)
         self.units = Cache(self._unit)
 
+    def _token(self, token: str) -> bytes:
+        ids = [t.id for t in self.merge(token if token.isascii() else as_letters(token))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _unit(self, unit: str) -> bytes:
-        if unit.isascii() and unit.isprintable():
-            return b"".join(self.tokens.all_of(ASCII_WORD.findall(unit.lower())))
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(unit))
-        return b"".join(self.tokens.all_of([t for t, _ in cut]))
+        ids = [i.id for t, _ in cut for i in self.merge(t)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text: those of its words, one after the other, as nothing is joined over white space."""
+        cut = [LATIN_WORD.findall(t.lower()) if LATIN_TEXT.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        known = self.tokens.of(set().union(*[c for c in cut if c]))
+        return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") if c is not None else self._other(t) for c, t in zip(cut, texts)]
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of a text: those of its words, one after the other, as nothing is joined over white space."""
+    def _other(self, text: str) -> np.ndarray:
         if ODD_SPACE.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(self.units.all_of(text.split())), "<u4")
@@ -106,6 +149,6 @@ def _words(name: str) -> Words:
     return Words(name)
 
 
-def word_ids(text: str, name: str) -> np.ndarray:
-    """Ids of a text by a lower-casing tokenizer that drops white space, without added special tokens."""
-    return _words(name).ids(text)
+def word_ids(texts: list[str], name: str) -> list[np.ndarray]:
+    """Ids of each text by a lower-casing tokenizer that drops white space, without added special tokens."""
+    return _words(name).ids(texts)

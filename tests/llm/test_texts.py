@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import brute
 from tallyglass.llm import line_dedup, packing, quality_rules, simhash, spans, token_counts
 from tallyglass.llm.common import only, read
-from tallyglass.llm.vocab import tokenizer
+from tallyglass.llm.vocab import Generations, tokenizer, word_ids
 
 
 def rows_of(df):
@@ -210,12 +210,38 @@ def test_token_counts_of_nothing_and_table(spark, folder, nothing):
 def test_every_character_is_counted_as_by_the_library():
     """Each character alone, and between letters, digits and signs; those of unlike kinds are few and go to the library."""
     library = tokenizer("byte_bpe_50k.json")
-    odd = token_counts.odd_characters("byte_bpe_50k.json")
-    counter = token_counts.Counts("byte_bpe_50k.json", token_counts.FrequentLengths([], []), odd)
+    counter = token_counts.Counts("byte_bpe_50k.json", token_counts.FrequentLengths([], []))
+    known = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xF900 and c < 0xF0000]
+    odd = [c for at in range(0, len(known), 256) for c in counter.differ(known[at:at + 256])]
     assert len(odd) < 20_000
     for start in [*range(0, 0x3400, 16), *range(0x10000, 0x20000, 509), *map(ord, odd[:300])]:
         text = "".join(f" a{c}b{c}1{c}2!{c}? {c}{c}\n" for c in map(chr, range(start, start + 16)) if not "\ud800" <= c < "\ue000")
-        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), hex(start)
+        assert counter.counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)], hex(start)
+
+
+def test_latin_texts_are_cut_as_others(messy):
+    counter = token_counts.Counts("byte_bpe_50k.json", token_counts.FrequentLengths([], []))
+    library = tokenizer("byte_bpe_50k.json")
+    words = tokenizer("word_bpe_49k.json")
+    r = np.random.RandomState(3)
+    letters = list("aZéßŽŒ×÷İıŉſ09'’ \t\n\r\x0b!?-_…") + ["'s", " 'll", "  ", "ﬁ", "e\u0301"]
+    texts = ["".join(r.choice(letters, r.randint(0, 40))) for _ in range(3000)]
+    assert counter.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [i.tolist() for i in word_ids(texts, "word_bpe_49k.json")] == [words.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_caches_forget_and_find_again():
+    made = []
+    cache = Generations(lambda t: made.append(t) or len(t), most=20)
+    for i in range(60):
+        assert {t: n for t, n in cache.of({"often", f"w{i}", "x" * 100}).items() if t in ("often", f"w{i}", "x" * 100)} == {"often": 5, f"w{i}": len(f"w{i}"), "x" * 100: 100}
+    assert made.count("often") == 1 and len(cache.new) + len(cache.old) <= 24
+
+
+def test_frequent_pretokens_come_from_all_files(spark):
+    rows = [(f"first only {i}",) for i in range(300)] + [(f"second kind {i}",) for i in range(300)]
+    made, _ = token_counts.frequent_lengths(spark.createDataFrame(rows, "text string").repartitionByRange(20, "text"), "byte_bpe_50k.json", 100, 60)
+    assert {" only", " kind"} <= set(made)
 
 
 def test_frequent_table_is_exact():
