@@ -4,7 +4,8 @@ Each document fails or passes single rules. Failures are summed per host (here t
 column `source`), each rule's rate over hosts gets a beta prior fitted to the hosts
 themselves (moments, weighted by documents), a host's rate is shrunk to
 (failures + a) / (documents + a + b), and a host whose shrunk rate passes a rule's limit
-is rejected with all its documents. Hosts with few documents stay near the corpus.
+is rejected with all its documents: 0.9 of a single rule, or one half of documents that
+fail any of them. Hosts with few documents stay near the corpus.
 
 The text is read once; the host sums are folded before the shuffle, so a host with a
 third of all documents is a few rows per task. The verdict join carries ids and counts
@@ -20,7 +21,7 @@ from tallyglass.llm.common import keep_table, only
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 #: rule -> share of a host's documents that may fail it, after shrinking
-HOST_LIMITS = {"base": 0.9, "symbols": 0.9, "word_length": 0.9, "lines": 0.9}
+HOST_LIMITS = {"base": 0.9, "symbols": 0.9, "word_length": 0.9, "lines": 0.9, "any": 0.5}
 
 
 def repeated_words(hashes: str) -> Column:
@@ -58,10 +59,11 @@ def base_failed() -> Column:
 
 
 def failures() -> dict[str, Column]:
-    """Rule -> whether a document fails it."""
-    return {"base": base_failed(), "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-            "word_length": (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 10 * F.col("n_words")),
-            "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")}
+    """Rule -> whether a document fails it; `any`: whether it fails one of them."""
+    rules = {"base": base_failed(), "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
+             "word_length": (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 10 * F.col("n_words")),
+             "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")}
+    return rules | {"any": rules["base"] | rules["symbols"] | rules["word_length"] | rules["lines"]}
 
 
 def host_rates(measured: DataFrame) -> DataFrame:

@@ -23,6 +23,9 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 _RULES = {"base": "base_failed", "symbols": "10 * n_symbols > n_words", "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words", "lines": "10 * n_dup_lines > 3 * n_lines"}
 
 
+_RULES["any"] = " OR ".join(f"({c})" for c in _RULES.values())
+
+
 def _host_rate_sql(rule: str) -> str:
     return f"""SELECT host FROM (SELECT h.host, (h.f_{rule} + t.p_{rule} * (1 / greatest(1e-6, least(1 - 1e-6, b)) - 1)) / (h.n + (1 / greatest(1e-6, least(1 - 1e-6, b)) - 1)) AS rate FROM hosts h,
       (SELECT p_{rule}, CASE WHEN p_{rule} > 0 AND p_{rule} < 1 AND n - squares / n - (hosts - 1) > 0 THEN ((q_{rule} - n * p_{rule} * p_{rule}) / (p_{rule} * (1 - p_{rule})) - (hosts - 1)) / (n - squares / n - (hosts - 1)) ELSE 0 END AS b FROM totals) t)

@@ -51,6 +51,15 @@ def test_bad_host_is_rejected_and_small_host_is_shrunk(spark):
     assert rates["tiny"] < 0.5 < 0.9 < rates["bad"]
 
 
+def test_mostly_failing_host_goes_and_a_mixed_one_stays(spark):
+    """Host `junk` fails two rules by half each, `mixed` by a fifth each; no single rule's rate is near its limit."""
+    good = [f"plain words number {i} of some good document that says this and that about weather and rivers and stones and trees" for i in range(400)]
+    symbols, lines = [t + " $$$ ### %%%" for t in good], ["one line\n" * 3 + t for t in good]
+    rows = [(f"h{i % 20}", t) for i, t in enumerate(good)] + [("junk", t) for t in symbols[:100] + lines[100:200] + good[:10]] + [("mixed", t) for t in symbols[:40] + lines[:40] + good[:120]]
+    made = quality_rules.apply_rules(spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string"))
+    assert {r["host"] for r in made.where("host_failed").collect()} == {"junk"} and made.where("base_failed").isEmpty()
+
+
 def test_quality_of_nothing(nothing, docs, messy):
     assert quality_rules.apply_rules(nothing).count() == 0
     assert quality_rules.apply_rules(docs).count() == len(messy)
