@@ -15,6 +15,7 @@ from tallyglass.functions.expressions import dbl, distinct_counts, numeric_colum
 from tallyglass.functions.ranking import exact_quantiles, running_totals
 from tallyglass.functions.smallmath import variance_inflation
 from tallyglass.operators.imputation import fill_values
+from tallyglass.operators.information import neighbour_information
 from tallyglass.operators.schema import parse_time
 
 WIDE_LIMIT = 1_000
@@ -358,12 +359,16 @@ def drop_low_variance(df: DataFrame, cols: Sequence[str] | None = None, limit: f
     return df.drop(*gone)
 
 
-def mutual_information(df: DataFrame, target: str, cols: Sequence[str] | None = None, k: int | None = None, bins: int = 10) -> DataFrame:
-    """column, mutual_information in nats from quantile-binned joint counts, best first.
+def mutual_information(df: DataFrame, target: str, cols: Sequence[str] | None = None, k: int | None = None, bins: int = 10, method: str = "histogram") -> DataFrame:
+    """column, mutual_information in nats, best first; `k` keeps the best.
 
-    A histogram estimate: values differ from a neighbour-based one, the order of
-    clearly different features does not.
+    `histogram`: from quantile-binned joint counts, also for text features, one pass.
+    `neighbours`: from neighbour distances (`information.neighbour_information`), for numeric
+    features; the order of clearly different features is the same.
     """
+    if method == "neighbours":
+        out = neighbour_information(df, target, cols)
+        return out.orderBy(F.col("mutual_information").desc(), "column").limit(k) if k else out
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
     numbers = numeric_columns(df)
     binned_cols = cols + ([target] if target in numbers else [])
@@ -382,7 +387,7 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str] | None =
 
 
 def prune(df: DataFrame, target: str | None = None, method: str = "all", vif_limit: float = 5.0, variance_limit: float = 0.01,
-          k: int = 10) -> tuple[DataFrame, DataFrame]:
+          k: int = 10, estimator: str = "histogram") -> tuple[DataFrame, DataFrame]:
     """The table without pruned numeric columns, and (column, reason) of the removed ones; the target stays."""
     cols = [c for c in numeric_columns(df) if c != target]
     removed: list[tuple[str, str]] = []
@@ -393,7 +398,7 @@ def prune(df: DataFrame, target: str | None = None, method: str = "all", vif_lim
         removed += [(r["column"], "variance") for r in variances(df, left, variance_limit).where("removed").collect()]
     left = [c for c in cols if c not in dict(removed)]
     if method in ("mutual_info", "all") and target and left:
-        best = {r["column"] for r in mutual_information(df, target, left, k).collect()}
+        best = {r["column"] for r in mutual_information(df, target, left, k, method=estimator).collect()}
         removed += [(c, "mutual_info") for c in left if c not in best]
     report = df.sparkSession.createDataFrame(sorted(removed), "column string, reason string")
     return df.drop(*[c for c, _ in removed]), report

@@ -1,12 +1,15 @@
-"""Exact k-nearest-neighbour join by pivots (Euclidean distance).
-
-Vectors are assigned to the nearest of a bounded set of pivots.  A query first
-meets the donors of its own cell; its k-th distance there then rules out, by
-the triangle inequality, every cell that cannot hold a closer donor.  Only the
-remaining cells are visited.  Equal vectors are folded first (of n copies only
-the k+1 smallest keys can ever be neighbours), and large cells are split into
-bounded blocks, each solved by its own task with numpy.  Ties go to the
-smallest key.  Nothing is capped or skipped that could change the result.
+"""Exact k-nearest-neighbour join by a two-level pivot tree (Euclidean distance, or the largest difference of a component).
+
+Vectors go to the nearest of a few coarse pivots, and within that coarse cell to the
+nearest of its fine pivots.  Coarse pivots are few and known to every task; fine pivots and
+the radii of their cells are a table.  A cell holds about 2 sqrt(n) vectors, at most about
+`block_rows`, so the number of cells grows with sqrt(n), and beyond with n / block_rows.  A
+query first meets the donors of its own cell; its k-th distance there then rules out, by
+the triangle inequality, coarse cells that cannot hold a closer donor, and in the others
+fine cells.  Only the remaining cells are visited.  Equal vectors are folded first (of n
+copies only the k+1 smallest keys can ever be neighbours), and large cells are split into
+bounded blocks, each solved by its own task with numpy.  Ties go to the smallest key.
+Nothing is capped or skipped that could change the result.
 
 Donors measured to fit SMALL_DONOR_BYTES are broadcast instead: then every
 query task finds its neighbours alone, without a shuffle of the queries.
@@ -22,7 +25,10 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-MAX_PIVOTS = 256
+from tallyglass.session import cut_lineage
+
+MAX_PIVOTS = 256            # coarse pivots of all groups together
+LEAST_CELL = 32
 BLOCK_ROWS = 20_000
 CHUNK_DOUBLES = 4_000_000
 SMALL_DONOR_BYTES = 32_000_000
@@ -37,16 +43,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> Iterator[tuple[int, np.ndarray]]:
     """(first row, distances of a chunk of `a` to all of `b`), by plain differences to keep equal distances equal."""
     step = max(1, CHUNK_DOUBLES // max(1, b.shape[0] * b.shape[1]))
     for start in range(0, len(a), step):
         diff = a[start:start + step, None, :] - b[None, :, :]
-        yield start, np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        yield start, np.abs(diff).max(axis=2) if metric == "maximum" else np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
 
 
-def _all_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.vstack([d for _, d in _distances(a, b)])
+def _all_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    return np.vstack([d for _, d in _distances(a, b, metric)])
 
 
 def _closest(dist: np.ndarray, keys: list, need: int) -> list[list[tuple[float, object]]]:
@@ -56,7 +62,7 @@ def _closest(dist: np.ndarray, keys: list, need: int) -> list[list[tuple[float,
     return [sorted((float(row[j]), key) for j in np.nonzero(row <= top)[0] for key in keys[j])[:need] for row, top in zip(dist, limit)]
 
 
-def _near_broadcast(rows: DataFrame, donors: DataFrame, key_type: str, need: int) -> DataFrame:
+def _near_broadcast(rows: DataFrame, donors: DataFrame, key_type: str, need: int, metric: str) -> DataFrame:
     """(g, key, near) with the donors, whose size the caller has measured, sent to every task."""
     groups: dict[str, tuple[list, list]] = {}
     for r in donors.collect():
@@ -77,18 +83,187 @@ def _near_broadcast(rows: DataFrame, donors: DataFrame, key_type: str, need: int
                     continue
                 matrix, keys = shared.value[g]
                 near = []
-                for _, dist in _distances(_matrix(part["vec"]), matrix):
+                for _, dist in _distances(_matrix(part["vec"]), matrix, metric):
                     near += [[{"distance": x, "neighbour": n} for x, n in found] for found in _closest(dist, keys, need)]
                 yield pd.DataFrame({"g": part["g"], "key": part["key"], "near": pd.Series(near, index=part.index)})
 
     return rows.mapInPandas(search, f"g string, key {key_type}, near array<struct<distance: double, neighbour: {key_type}>>")
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that a table can meet one that was made from it."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+class PivotTree:
+    """Donors (g, vec, keys) dealt to the cells of two levels of pivots; `sizes`: number of donors of each group.
+
+    `coarse`: group -> matrix of pivots, `tables`: group -> rows (cell, keys, least and
+    largest distance to the pivot), both bounded by MAX_PIVOTS rows or one per group.
+    `cells`: (g, coarse, cell, pivot, lo, hi, n, vectors), one row per fine cell.
+    `placed`: (g, coarse, cell, vec, keys).
+    """
+
+    def __init__(self, donors: DataFrame, sizes: dict[str, int], key_type: str, need: int, block_rows: int, max_pivots: int, metric: str = "euclidean"):
+        self.key_type, self.need, self.block_rows, self.metric = key_type, need, block_rows, metric
+        # a cell's share of a large group, and how many coarse cells: the square root of the number of cells
+        self.leaf = {g: min(block_rows, max(LEAST_CELL, 2 * math.isqrt(n))) for g, n in sizes.items()}
+        budget = max(1, max_pivots // max(1, len(sizes)))
+        wanted = {g: max(1, min(budget, math.isqrt(math.ceil(n / self.leaf[g])))) for g, n in sizes.items()}
+        order = Window.partitionBy("g").orderBy(F.xxhash64("vec"), "vec")
+        picked = donors.select("g", "vec").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(wanted.values(), default=1))
+        found: dict[str, list] = {}
+        for row in picked.orderBy("g", "_r").collect():                    # at most max_pivots rows, or one per group
+            if row["_r"] <= wanted[row["g"]]:
+                found.setdefault(row["g"], []).append(row["vec"])
+        self.coarse = {g: np.array(v, dtype=float) for g, v in found.items()}
+        placed = cut_lineage(donors.mapInPandas(self._to_coarse(), f"g string, vec array<double>, keys array<{key_type}>, coarse int, radius double"))
+        rows = placed.groupBy("g", "coarse").agg(F.sum(F.size("keys")).alias("n"), F.count(F.lit(1)).alias("vectors"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()
+        self.tables: dict[str, np.ndarray] = {}
+        for g in {r["g"] for r in rows}:
+            self.tables[g] = np.array(sorted((r["coarse"], r["n"], r["lo"], r["hi"]) for r in rows if r["g"] == g), dtype=float)
+        fine = [(r["g"], r["coarse"], max(1, math.ceil(r["vectors"] / self.leaf[r["g"]]))) for r in rows]
+        asked = donors.sparkSession.createDataFrame(fine or [("", -1, 1)], "g string, coarse int, fine int")
+        within = Window.partitionBy("g", "coarse").orderBy(F.xxhash64("vec", F.lit(3)), "vec")
+        most = max([f for *_, f in fine], default=1)
+        self.pivots = cut_lineage(placed.select("g", "coarse", "vec").withColumn("cell", F.row_number().over(within)).where(F.col("cell") <= most)
+                                  .join(F.broadcast(asked), ["g", "coarse"]).where(F.col("cell") <= F.col("fine")).select("g", "coarse", "cell", F.col("vec").alias("pivot")))
+        self.placed = cut_lineage(self._meet_pivots(placed.select("g", "coarse", "vec", "keys"), self.pivots, self._to_fine(), f"g string, coarse int, vec array<double>, keys array<{key_type}>, cell int, radius double"))
+        shape = self.placed.groupBy("g", "coarse", "cell").agg(F.sum(F.size("keys")).alias("n"), F.count(F.lit(1)).alias("vectors"), F.min("radius").alias("lo"), F.max("radius").alias("hi"))
+        self.cells = cut_lineage(self.pivots.join(shape, ["g", "coarse", "cell"]))
+
+    def _to_coarse(self):
+        coarse, metric = self.coarse, self.metric
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for g, part in pdf.groupby("g"):
+                    if g in coarse:
+                        dist = _all_distances(_matrix(part["vec"]), coarse[g], metric)
+                        home = dist.argmin(axis=1)
+                        yield part.assign(coarse=home.astype("int32"), radius=dist[np.arange(len(part)), home])
+        return place
+
+    def _meet_pivots(self, rows: DataFrame, pivots: DataFrame, solve, schema: str) -> DataFrame:
+        """Rows of a coarse cell, in blocks of about block_rows, with the pivots of that cell."""
+        load = rows.groupBy("g", "coarse").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("long").alias("parts"))          # one row per coarse cell
+        left = rows.join(F.broadcast(load), ["g", "coarse"]).withColumn("block", F.pmod(F.xxhash64("vec", F.lit(5)), F.col("parts"))).drop("parts")
+        right = pivots.join(F.broadcast(load), ["g", "coarse"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        keys = ["g", "coarse", "block"]
+        return _renewed(left).groupBy(*keys).cogroup(_renewed(right).groupBy(*keys)).applyInPandas(solve, schema)
+
+    def _to_fine(self):
+        metric = self.metric
+
+        def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return left.assign(cell=pd.Series(dtype="int32"), radius=pd.Series(dtype="float64")).drop(columns="block").iloc[:0]
+            right = right.sort_values("cell")
+            ids, pivots = right["cell"].to_numpy(), _matrix(right["pivot"])
+            home, radius = np.empty(len(left), np.int64), np.empty(len(left))
+            for start, dist in _distances(_matrix(left["vec"]), pivots, metric):
+                at = dist.argmin(axis=1)
+                home[start:start + len(dist)], radius[start:start + len(dist)] = at, dist[np.arange(len(dist)), at]
+            return left.drop(columns="block").assign(cell=ids[home].astype("int32"), radius=radius)
+        return solve
+
+    def homes(self, queries: DataFrame) -> DataFrame:
+        """(g, qid, vec, coarse, cell) of each query's own cell."""
+        key_type, coarse = self.key_type, self._to_coarse()
+
+        def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in coarse(batches):
+                yield part[["g", "qid", "vec", "coarse"]]
+        near = queries.mapInPandas(first, f"g string, qid {key_type}, vec array<double>, coarse int")
+        made = self._meet_pivots(near, self.pivots, self._to_fine(), f"g string, qid {key_type}, vec array<double>, coarse int, cell int, radius double")
+        return made.drop("radius")
+
+    def away(self, bounded: DataFrame) -> DataFrame:
+        """(g, qid, vec, coarse, cell) of the other cells that may hold a closer donor than `kth` (null: unknown) of (g, qid, vec, coarse, cell, kth)."""
+        coarse, tables, need, key_type, metric = self.coarse, self.tables, self.need, self.key_type, self.metric
+
+        def open_coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for g, part in pdf.groupby("g"):
+                    if g not in tables:
+                        continue
+                    ids, count, low, high = tables[g][:, 0].astype(int), tables[g][:, 1], tables[g][:, 2], tables[g][:, 3]
+                    dist = _all_distances(_matrix(part["vec"]), coarse[g], metric)[:, ids]
+                    reach = dist + high
+                    ranked = np.argsort(reach, axis=1)
+                    enough = np.cumsum(count[ranked], axis=1) >= need
+                    rows = np.arange(len(part))
+                    bound = np.where(enough.any(axis=1), reach[rows, ranked[rows, enough.argmax(axis=1)]], np.inf)
+                    bound = np.minimum(bound, part["kth"].fillna(np.inf).to_numpy()) * (1 + 1e-9)
+                    at, cell = np.nonzero((dist - high <= bound[:, None]) & (low - dist <= bound[:, None]))
+                    some = part.iloc[at]
+                    yield some[["g", "qid", "vec"]].assign(coarse=ids[cell].astype("int32"), home=np.where(some["coarse"].to_numpy() == ids[cell], some["cell"].to_numpy(), -1).astype("int32"), bound=bound[at])
+
+        def open_fine(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return left.assign(cell=pd.Series(dtype="int32"))[["g", "qid", "vec", "coarse", "cell"]].iloc[:0]
+            ids, low, high = right["cell"].to_numpy(), right["lo"].to_numpy(), right["hi"].to_numpy()
+            bound, home, rows, cells = left["bound"].to_numpy(), left["home"].to_numpy(), [], []
+            for start, dist in _distances(_matrix(left["vec"]), _matrix(right["pivot"]), metric):
+                part = slice(start, start + len(dist))
+                at, cell = np.nonzero((dist - high <= bound[part, None]) & (low - dist <= bound[part, None]) & (ids[None, :] != home[part, None]))
+                rows.append(at + start)
+                cells.append(ids[cell])
+            return left.iloc[np.concatenate(rows)][["g", "qid", "vec", "coarse"]].assign(cell=np.concatenate(cells).astype("int32"))
+        routed = cut_lineage(bounded.mapInPandas(open_coarse, f"g string, qid {key_type}, vec array<double>, coarse int, home int, bound double"))
+        return self._meet_pivots(routed, self.cells.select("g", "coarse", "cell", "pivot", "lo", "hi"), open_fine, f"g string, qid {key_type}, vec array<double>, coarse int, cell int")
+
+    def meet(self, visits: DataFrame) -> DataFrame:
+        """(g, qid, neighbour, distance): the `need` closest donors of every visited block; both sides of a block are bounded by block_rows."""
+        need, block_rows, metric = self.need, self.block_rows, self.metric
+
+        def solve(_, qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
+            if not len(qs) or not len(ds):
+                return pd.DataFrame({"g": [], "qid": [], "neighbour": [], "distance": []})
+            a, b, keys = _matrix(qs["vec"]), _matrix(ds["vec"]), ds["keys"].tolist()
+            found = []
+            for start, dist in _distances(a, b, metric):
+                for i, best in enumerate(_closest(dist, keys, need)):
+                    found += [(qs["g"].iat[start + i], qs["qid"].iat[start + i], n, x) for x, n in best]
+            return pd.DataFrame(found, columns=["g", "qid", "neighbour", "distance"])
+        cell = ["g", "coarse", "cell"]
+        load = visits.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("q_parts"))
+        plan = self.cells.select(*cell, F.ceil(F.col("vectors") / block_rows).cast("long").alias("parts")).join(load, cell)        # one row per visited cell
+        left = visits.join(plan, cell).withColumn("q_block", F.pmod(F.xxhash64("qid"), F.col("q_parts"))).withColumn("d_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        right = self.placed.join(plan, cell).withColumn("d_block", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("parts"))).withColumn(
+            "q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
+        keys = [*cell, "d_block", "q_block"]
+        return _renewed(left.select(*keys, "qid", "vec")).groupBy(*keys).cogroup(
+            _renewed(right.select(*keys, "vec", "keys")).groupBy(*keys)).applyInPandas(solve, f"g string, qid {self.key_type}, neighbour {self.key_type}, distance double")
+
+    def search(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(lists, visits): (g, qid, near) with the `need` closest (distance, neighbour) of each query (g, qid, vec), and the cells that were looked into."""
+        best = Window.partitionBy("g", "qid").orderBy("distance", "neighbour")
+        limit_rank = lambda df: df.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= self.need).drop("_r")
+        homes = cut_lineage(self.homes(queries))
+        at_home = cut_lineage(limit_rank(self.meet(homes)))
+        kth = at_home.groupBy("g", "qid").agg(F.when(F.count(F.lit(1)) >= self.need, F.max("distance")).alias("kth"))
+        away = cut_lineage(self.away(homes.join(kth, ["g", "qid"], "left")))
+        merged = limit_rank(at_home.unionByName(self.meet(away)))
+        lists = merged.groupBy("g", "qid").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+        return lists, homes.unionByName(away)
+
+
+def evaluations(tree: PivotTree, visits: DataFrame) -> DataFrame:
+    """(g, qid, evaluations): distances that a search computes for each query: to the coarse pivots twice, to the fine pivots of the coarse cells looked into, to the donors visited."""
+    fixed = F.create_map(*[x for g, m in tree.coarse.items() for x in (F.lit(g), F.lit(2 * len(m)))])
+    fine = tree.cells.groupBy("g", "coarse").agg(F.count(F.lit(1)).alias("fine"))
+    donors = visits.join(tree.cells.select("g", "coarse", "cell", "vectors"), ["g", "coarse", "cell"]).groupBy("g", "qid").agg(F.sum("vectors").alias("met"))
+    pivots = visits.select("g", "qid", "coarse").distinct().join(fine, ["g", "coarse"]).groupBy("g", "qid").agg(F.sum("fine").alias("fine"))
+    return donors.join(pivots, ["g", "qid"]).select("g", "qid", (fixed[F.col("g")] + F.col("fine") + F.col("met")).alias("evaluations"))
+
+
 def nearest(queries: DataFrame, donors: DataFrame, key: str, vec: str, k: int, by: str | None = None,
             exclude_self: bool = False, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
-            small_bytes: int = SMALL_DONOR_BYTES) -> DataFrame:
+            small_bytes: int = SMALL_DONOR_BYTES, metric: str = "euclidean") -> DataFrame:
     """(key, neighbour, distance, rank 1..k) for every query row; `by` keeps searches inside one group value.
 
+    `metric`: euclidean, or maximum (the largest difference of a component).
     Keys are unique per group on each side; vectors are array<double> without nulls.
     """
     key_type = "bigint" if isinstance(donors.schema[key].dataType, T.IntegralType) else "string"
@@ -105,100 +280,16 @@ def nearest(queries: DataFrame, donors: DataFrame, key: str, vec: str, k: int, b
     measured = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec") * 8 + F.size("keys") * 24).alias("bytes")).collect()
     named = [F.col("g").alias(by)] if by else []
     if sum(r["bytes"] for r in measured) <= small_bytes:
-        listed = _near_broadcast(q_rows, d, key_type, need)
+        listed = _near_broadcast(q_rows, d, key_type, need, metric)
         d.unpersist()
         kept = F.filter("near", lambda s: s["neighbour"] != F.col("key")) if exclude_self else F.col("near")
         out = listed.select("g", "key", F.posexplode(F.slice(kept, 1, k)).alias("_p", "_s"))
         return out.select(*named, F.col("key").alias(key), "_s.neighbour", "_s.distance", (F.col("_p") + 1).alias("rank"))
 
-    q = q_rows.groupBy("g", "vec").agg(F.min("key").alias("qid")).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r["g"]: r["n"] for r in measured}
-    budget = max(1, 4 * max_pivots // max(1, len(sizes)))
-    wanted = max([1] + [min(max_pivots, budget, int(math.sqrt(n) / 2)) for n in sizes.values()])
-    order = F.xxhash64("vec")
-    picked = d.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy(order, "vec"))).where(F.col("_r") <= wanted)
-    pivots: dict[str, np.ndarray] = {}
-    for row in picked.select("g", "vec").collect():      # bounded by groups x max_pivots
-        pivots.setdefault(row["g"], []).append(row["vec"])
-    pivots = {g: np.array(v, dtype=float) for g, v in pivots.items()}
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for g, part in pdf.groupby("g"):
-                dist = _all_distances(_matrix(part["vec"]), pivots[g])
-                home = dist.argmin(axis=1)
-                yield part.assign(cell=home.astype("int32"), radius=dist[np.arange(len(part)), home])
-
-    placed = d.mapInPandas(place, f"g string, vec array<double>, keys array<{key_type}>, cell int, radius double")
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    cells: dict[str, list] = {}
-    for row in placed.groupBy("g", "cell").agg(
-            F.sum(F.size("keys")).alias("n"), F.count(F.lit(1)).alias("vectors"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect():
-        cells.setdefault(row["g"], []).append((row["cell"], row["n"], row["vectors"], row["lo"], row["hi"]))
-    tables = {g: np.array(sorted(rows), dtype=float) for g, rows in cells.items()}
-    blocks = [(g, int(c[0]), max(1, math.ceil(c[2] / block_rows))) for g, rows in tables.items() for c in rows]
-
-    def route(home_only: bool):
-        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for g, part in pdf.groupby("g"):
-                    if g not in tables:
-                        continue
-                    table = tables[g]
-                    ids, count, low, high = table[:, 0].astype(int), table[:, 1], table[:, 3], table[:, 4]
-                    dist = _all_distances(_matrix(part["vec"]), pivots[g])[:, ids]
-                    home = dist.argmin(axis=1)
-                    if home_only:
-                        yield part[["g", "qid", "vec"]].assign(cell=ids[home].astype("int32"))
-                        continue
-                    reach = dist + high
-                    ranked = np.argsort(reach, axis=1)
-                    enough = np.cumsum(count[ranked], axis=1) >= need
-                    first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
-                    rows = np.arange(len(part))
-                    bound = np.where(enough.any(axis=1), reach[rows, ranked[rows, first]], np.inf)
-                    bound = np.minimum(bound, part["kth"].fillna(np.inf).to_numpy()) * (1 + 1e-9)
-                    open_cell = (dist - high <= bound[:, None]) & (low - dist <= bound[:, None])
-                    open_cell[rows, home] = False
-                    at, cell = np.nonzero(open_cell)
-                    yield part[["g", "qid", "vec"]].iloc[at].assign(cell=ids[cell].astype("int32"))
-        return visit
-
-    visit_schema = f"g string, qid {key_type}, vec array<double>, cell int"
-    out_schema = f"g string, qid {key_type}, neighbour {key_type}, distance double"
-
-    def solve(_, qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(ds):
-            return pd.DataFrame({"g": [], "qid": [], "neighbour": [], "distance": []})
-        a, b, keys = _matrix(qs["vec"]), _matrix(ds["vec"]), ds["keys"].tolist()
-        found = []
-        for start, dist in _distances(a, b):
-            for i, best in enumerate(_closest(dist, keys, need)):
-                found += [(qs["g"].iat[start + i], qs["qid"].iat[start + i], n, x) for x, n in best]
-        return pd.DataFrame(found, columns=["g", "qid", "neighbour", "distance"])
-
-    spark = queries.sparkSession
-    split = spark.createDataFrame(blocks or [("", -1, 1)], "g string, cell int, parts int")
-
-    def meet(visits: DataFrame) -> DataFrame:
-        """Solve visits block by block; both sides of a block are bounded by block_rows."""
-        load = visits.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("q_parts"))
-        plan = F.broadcast(split.join(load, ["g", "cell"]))       # one row per cell
-        left = visits.join(plan, ["g", "cell"]).withColumn("q_block", F.pmod(F.xxhash64("qid"), F.col("q_parts"))).withColumn(
-            "d_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
-        right = placed.join(plan, ["g", "cell"]).withColumn("d_block", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("parts"))).withColumn(
-            "q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts").cast("long") - 1)))
-        keys = ["g", "cell", "d_block", "q_block"]
-        return left.select(*keys, "qid", "vec").groupBy(*keys).cogroup(
-            right.select(*keys, "vec", "keys").groupBy(*keys)).applyInPandas(solve, out_schema)
-
-    best = Window.partitionBy("g", "qid").orderBy("distance", "neighbour")
-    limit_rank = lambda df: df.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= need)
-    at_home = limit_rank(meet(q.mapInPandas(route(True), visit_schema))).drop("_r").persist(StorageLevel.MEMORY_AND_DISK)
-    kth = at_home.groupBy("g", "qid").agg(F.when(F.count(F.lit(1)) >= need, F.max("distance")).alias("kth"))
-    away = meet(q.join(kth, ["g", "qid"], "left").select("g", "qid", "vec", "kth").mapInPandas(route(False), visit_schema))
-    merged = limit_rank(at_home.unionByName(away))
-    lists = merged.groupBy("g", "qid").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    q = cut_lineage(q_rows.groupBy("g", "vec").agg(F.min("key").alias("qid")))
+    tree = PivotTree(d, {r["g"]: r["n"] for r in measured}, key_type, need, block_rows, max_pivots, metric)
+    d.unpersist()
+    lists, _ = tree.search(q)
     by_vector = q.join(lists, ["g", "qid"]).select("g", "vec", "near")
     rows = q_rows.join(by_vector, ["g", "vec"])
     kept = F.col("near")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import features as T, outliers as O
 from tallyglass.operators.fitted import FittedSteps, Step, fit_steps
+from tallyglass.operators.information import neighbour_information
 from tallyglass.plans.catalog import query, rounded, union_sql
 from tallyglass.plans.inputs import AFTER, BEFORE, GAPS, before_after, gaps, table, vectors
 from tallyglass.plans.profile_queries import NUMBERS, per_column_sql
@@ -304,6 +305,34 @@ def f21(spark, d):
     return rounded(T.mutual_information(table(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice", "l_tax"]))
 
 
+def neighbour_mi_sql(cols: list[str], target: str, number: bool) -> str:
+    """Every row of part compared with every other: the same estimate by brute force."""
+    spread = ", ".join(f"nullif(stddev_pop({c}), 0) AS s_{c}" for c in [*cols, *([target] if number else [])])
+    y = f"{target} / coalesce(s_{target}, 1)" if number else target
+    long = union_sql([f"""SELECT '{c}' AS "column", p_partkey AS id, {c} / coalesce(s_{c}, 1) AS x, {y} AS y FROM part, s""" for c in cols])
+    gap = "greatest(abs(a.x - b.x), abs(a.y - b.y))" if number else "abs(a.x - b.x)"
+    other = "CASE WHEN a.id <> b.id" + ("" if number else " AND a.y = b.y") + f" THEN {gap} END"
+    second = "count(*) FILTER (abs(a.y - b.y) <= r.r * (1 - 1e-9))" if number else "any_value(r.size)"
+    return f"""WITH s AS (SELECT {spread} FROM part), l AS ({long}), p AS (SELECT * FROM l WHERE {'true' if number else '("column", y) IN (SELECT ("column", y) FROM l GROUP BY "column", y HAVING count(*) > 1)'}),
+  psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(CASE WHEN n > 1 THEN 1.0 / (n - 1) END) OVER (ORDER BY n), 0) AS psi FROM (SELECT unnest(range(1, (SELECT count(*) FROM part) + 2)) AS n)),
+  d AS (SELECT a."column", a.id, min({other}, 3) AS near, count(*) FILTER ({other} = 0) AS same, count(*) FILTER (a.y = b.y) AS size FROM p a JOIN p b ON a."column" = b."column" GROUP BY ALL),
+  r AS (SELECT *, near[-1] AS r, CASE WHEN near[-1] = 0 THEN same + 1 ELSE len(near) END AS kk FROM d),
+  c AS (SELECT a."column", a.id, any_value(r.kk) AS kk, count(*) FILTER (abs(a.x - b.x) <= r.r * (1 - 1e-9)) AS n_x, {second} AS n_y
+    FROM p a JOIN p b ON a."column" = b."column" JOIN r ON r."column" = a."column" AND r.id = a.id GROUP BY ALL)
+  SELECT c."column" AS "column", round(greatest(any_value(t.psi) + avg(k.psi - x.psi - y.psi), 0), 6) AS mutual_information FROM c JOIN psi k ON k.n = c.kk JOIN psi x ON x.n = c.n_x JOIN psi y ON y.n = c.n_y
+  JOIN (SELECT "column", count(*) AS n FROM p GROUP BY 1) z ON z."column" = c."column" JOIN psi t ON t.n = z.n GROUP BY 1"""
+
+
+@query("f21_neighbour_information", neighbour_mi_sql(["p_size", "p_partkey"], "p_retailprice", True))
+def f21n(spark, d):
+    return rounded(neighbour_information(table(spark, d, "part"), "p_retailprice", ["p_size", "p_partkey"]))
+
+
+@query("f21_neighbour_information_of_classes", neighbour_mi_sql(["p_size", "p_retailprice"], "p_brand", False))
+def f21c(spark, d):
+    return rounded(neighbour_information(table(spark, d, "part"), "p_brand", ["p_size", "p_retailprice"]))
+
+
 @query("f22_prune", """SELECT * FROM (VALUES ('l_quantity', 'vif'), ('mixed', 'vif'), ('l_discount', 'variance'), ('l_tax', 'variance')) t("column", reason) WHERE (SELECT count(*) FROM lineitem) > 0""")
 def f22(spark, d):
     li = table(spark, d, "lineitem").select(*NUMBERS, (F.col("l_quantity") * 2 + F.col("l_linenumber")).alias("mixed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.operators import metrics as E, models as L, sampling as S
+from tallyglass.operators.neighbors import nearest
 from tallyglass.plans.catalog import query, rounded, union_sql
 from tallyglass.plans.inputs import PART_FEATURES, PARTS, SCORED, parts, scored, table, vectors
 
@@ -193,6 +194,16 @@ def l19(spark, d):
     return L.knn_classify(v.where(F.col("vec_id") % 4 != 0), v.where(F.col("vec_id") % 4 == 0), "vec_id", "vec", "label")
 
 
+PLACES = "(SELECT c_custkey, list_value(round(c_acctbal), c_nationkey * 40)::DOUBLE[] AS e FROM customer)"
+
+
+@query("l19_nearest_by_pivots", f"""SELECT c_custkey, neighbour, rank::INTEGER AS rank, round(distance, 6) AS distance FROM (SELECT a.c_custkey, b.c_custkey AS neighbour, list_distance(a.e, b.e) AS distance,
+  row_number() OVER (PARTITION BY a.c_custkey ORDER BY list_distance(a.e, b.e), b.c_custkey) AS rank FROM {PLACES} a JOIN {PLACES} b ON a.c_custkey <> b.c_custkey) WHERE rank <= 4""")
+def l19p(spark, d):
+    places = table(spark, d, "customer").select("c_custkey", F.array(F.round("c_acctbal"), (F.col("c_nationkey") * 40).cast("double")).alias("vec"))
+    return rounded(nearest(places, places, "c_custkey", "vec", 4, exclude_self=True, small_bytes=0)).select("c_custkey", "neighbour", "rank", "distance")
+
+
 @query("l20_majority_baseline", """SELECT o_orderkey, (SELECT o_orderpriority FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction FROM orders WHERE o_custkey % 2 = 1""")
 def l20(spark, d):
     o = table(spark, d, "orders")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.operators import imputation as I, outliers as O, sampling as S
-from tallyglass.operators.neighbors import nearest
+from tallyglass.operators.neighbors import BLOCK_ROWS, MAX_PIVOTS, PivotTree, evaluations, nearest
 
 PATHS = {"broadcast": {}, "pivots": {"small_bytes": 0}, "small blocks": {"small_bytes": 0, "block_rows": 25, "max_pivots": 6}}
 
@@ -31,6 +31,38 @@ def test_nearest_is_exact(spark, path, itself):
         assert [got[i][k] for k in (1, 2, 3, 4)] == order
 
 
+def test_pivot_tree_against_brute_force(spark):
+    """Clusters, copies and far points in five dimensions, with cells at both levels."""
+    rng = np.random.default_rng(8)
+    points = np.vstack([rng.normal(c, 1, (400, 5)) for c in (-20, 0, 3, 40)] + [np.zeros((60, 5)), rng.normal(0, 300, (40, 5))]).round(2)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points[::7] + 0.25)], "id long, vec array<double>")
+    for queries, places, itself in ((df, points, True), (asked, points[::7] + 0.25, False)):
+        got = {}
+        for r in nearest(queries, df, "id", "vec", 3, exclude_self=itself, small_bytes=0).collect():
+            got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+        dist = np.sqrt(((places[:, None] - points[None]) ** 2).sum(-1))
+        for i in range(len(places)):
+            assert [got[i][k] for k in (1, 2, 3)] == [j for j in np.lexsort((np.arange(len(points)), dist[i])) if not (itself and j == i)][:3]
+
+
+def test_distance_evaluations_grow_slower_than_the_table(spark):
+    """Ten times the donors cost each query far less than ten times the distances."""
+    cost = []
+    for sf in ("0.01", "0.1"):
+        rows = spark.read.parquet(f"/root/testdata/sf{sf}/lineitem.parquet").groupBy("l_orderkey").agg(
+            F.avg("l_quantity").alias("a"), (F.avg("l_extendedprice") / 1000).alias("b")).select(
+            F.lit("").alias("g"), F.col("l_orderkey").alias("qid"), F.array("a", "b").alias("vec"))
+        donors = rows.groupBy("g", "vec").agg(F.sort_array(F.collect_list("qid")).alias("keys"))
+        n = donors.count()
+        tree = PivotTree(donors, {"": n}, "bigint", 6, BLOCK_ROWS, MAX_PIVOTS)
+        lists, visits = tree.search(rows.where("qid % 100 = 0").groupBy("g", "vec").agg(F.min("qid").alias("qid")))
+        cost.append((n, evaluations(tree, visits).agg(F.avg("evaluations")).first()[0]))
+        assert lists.where("size(near) <> 6").isEmpty()
+    (n, few), (more, many) = cost
+    assert more > 8 * n and many < 5 * few and many < more / 20
+
+
 def test_nearest_within_groups(spark):
     _, df = cloud(spark, 90)
     df = df.withColumn("g", F.col("id") % 2)
