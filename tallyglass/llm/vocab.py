@@ -71,7 +71,7 @@ class Cache(dict):
 class Generations:
     """token -> what `make(token)` gave, in two generations of a bounded number of tokens: a full newer one becomes the older, and what is asked for again comes back. So frequent tokens stay."""
 
-    def __init__(self, make, most: int = 600_000):
+    def __init__(self, make, most: int = 500_000):
         self.make, self.most, self.new, self.old = make, most, {}, {}
 
     def of(self, tokens: set[str]) -> dict:
