@@ -122,24 +122,26 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[floa
 def isolation_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Adds `score` = 2^(-mean depth / expected depth) for rows complete in `cols`.
 
-    Each tree grows in its own task from the `sample` smallest hashes of (row, tree), at
-    every table size among the trees x sample rows with the smallest hashes of their own;
-    the trees (bounded by trees x 2 x sample nodes) are broadcast to score all rows.
+    The trees x sample rows with the smallest hashes, at every table size, are numbered; each
+    tree takes `sample` of these numbers by its own seed and grows in its own task. The
+    trees (bounded by trees x 2 x sample nodes) are broadcast to score all rows.
     """
     cols = list(cols)
     complete = df.dropna(subset=cols)
     keyed = complete.select(*dict.fromkeys([*keys, *cols])).withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
     first = keyed.orderBy("_h", *keys).limit(trees * sample)          # trees x sample rows at most, from all rows
-    spread = first.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", F.xxhash64("_h", "tree"))
-    chosen = spread.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys))).where(F.col("_r") <= sample)
+    numbered = cut_lineage(first.withColumn("_r", F.row_number().over(Window.orderBy("_h", *keys)) - 1))
+    n = numbered.count()
+    drawn = [(t, int(r)) for t in range(trees) for r in np.random.default_rng([seed, t, n]).choice(n, min(n, sample), replace=False)] if n else []
+    chosen = df.sparkSession.createDataFrame(drawn, "tree int, _r int").join(numbered, "_r")
     depth = math.ceil(math.log2(max(2, sample)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iat[0])
-        x = pdf.sort_values("_h")[cols].to_numpy(dtype=float)
+        x = pdf.sort_values("_r")[cols].to_numpy(dtype=float)
         return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [_grow(x, np.random.default_rng([seed, tree]), depth)]})
 
-    grown = chosen.select("tree", "_h", *[dbl(c).alias(c) for c in cols]).groupBy("tree").applyInPandas(
+    grown = chosen.select("tree", "_r", *[dbl(c).alias(c) for c in cols]).groupBy("tree").applyInPandas(
         grow, "tree int, size int, nodes array<array<double>>").collect()       # bounded by trees x sample
     forest = df.sparkSession.sparkContext.broadcast([np.array(r["nodes"], dtype=float) for r in sorted(grown, key=lambda r: r["tree"])])
     norm = _path_norm(max([r["size"] for r in grown], default=2)) or 1.0
@@ -173,7 +175,8 @@ def flag_top_share(scored: DataFrame, score: str, contamination: float) -> DataF
 
 def isolation_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], contamination: float = 0.05, trees: int = 100,
                      sample: int = 256, seed: int = 42) -> DataFrame:
-    return flag_top_share(isolation_scores(df, keys, cols, trees, sample, seed), "score", contamination)
+    scored = cut_lineage(isolation_scores(df, keys, cols, trees, sample, seed))          # read by the quantile and by the flags: scored once
+    return flag_top_share(scored, "score", contamination)
 
 
 def local_outlier_factor(df: DataFrame, key: str, vec: str, k: int = 20) -> DataFrame:

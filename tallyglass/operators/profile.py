@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyglass.functions.expressions import (
     atomic_columns, count_if, dbl, distinct_counts, long_values, numeric_columns, one, per_column, ratio, safe_corr, sample_kurtosis,
     sample_skewness, text_columns, tidy, union_all)
-from tallyglass.functions.ranking import exact_quantiles, quantiles_of_counts, value_counts_of
+from tallyglass.functions.ranking import BUILTIN_ROWS, exact_quantiles, quantiles_of_counts, value_counts_of
 from tallyglass.session import cut_lineage
 from tallyglass.sources.readers import seeded_sample
 
@@ -219,8 +219,13 @@ def box_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """Quartiles, whiskers at the extreme values within 1.5 IQR, and outlier count, per category."""
     group = by or "_whole"
     base = df.withColumn("_whole", F.lit("all")) if by is None else df
-    counts = cut_lineage(value_counts_of(base, col, [group]))          # read by the quartiles and by the whiskers
-    quarts = quantiles_of_counts(counts, [0.25, 0.5, 0.75], [group])
+    if base.count() <= BUILTIN_ROWS:
+        rows = base.where(F.col(col).isNotNull()).select(group, dbl(col).alias("_v"), F.lit(1).alias("_n"))
+        q = rows.groupBy(group).agg(F.percentile("_v", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("_q"))
+        counts, quarts = rows, q.select(group, *[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
+    else:
+        counts = cut_lineage(value_counts_of(base, col, [group]))          # read by the quartiles and by the whiskers
+        quarts = quantiles_of_counts(counts, [0.25, 0.5, 0.75], [group])
     reach = (F.col("q2") - F.col("q0")) * 1.5
     inside = (F.col("_v") >= F.col("q0") - reach) & (F.col("_v") <= F.col("q2") + reach)
     return counts.join(quarts, group).groupBy(F.col(group).alias("category")).agg(

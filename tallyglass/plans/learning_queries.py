@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.operators import metrics as E, models as L, sampling as S
+from tallyglass.operators.kernels import kernel_machine
 from tallyglass.operators.neighbors import nearest
 from tallyglass.plans.catalog import query, rounded, union_sql
 from tallyglass.plans.inputs import PART_FEATURES, PARTS, SCORED, parts, scored, table, vectors
@@ -194,6 +195,14 @@ def l19(spark, d):
     return L.knn_classify(v.where(F.col("vec_id") % 4 != 0), v.where(F.col("vec_id") % 4 == 0), "vec_id", "vec", "label")
 
 
+@query("l18_kernel_svm")
+def l18k(spark, d):
+    data = S.group_split(labelled(spark, d).withColumns({c: F.col(c) / F.lit(by) for c, by in (("l_quantity", 10.0), ("l_extendedprice", 20000.0))}), "l_orderkey")
+    machine = kernel_machine(data.where(F.col("part") == "train"), FEATURES, "label", ["l_orderkey", "l_linenumber"], components=64, max_iter=20)
+    scored = machine.score(data.where(F.col("part") == "test"))
+    return scored.agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+
 PLACES = "(SELECT c_custkey, list_value(round(c_acctbal), c_nationkey * 40)::DOUBLE[] AS e FROM customer)"
 
 
