@@ -210,8 +210,8 @@ def retry_schedule(retries: Column, base: float = 30, most: float = 300, max_ret
     return F.when(~gone, delay), gone
 
 
-def runtime_estimates(events: DataFrame, by: Sequence[str], order: str, runtime: str, keys: Sequence[str], keep: float = 0.7, chunk_seconds: int = 3600) -> DataFrame:
-    """by, n, estimate: the moving average keep * old + (1 - keep) * new, started by the first value.
+def estimate_pieces(events: DataFrame, by: Sequence[str], order: str, runtime: str, keys: Sequence[str], keep: float = 0.7, chunk_seconds: int = 3600) -> DataFrame:
+    """by, n, first, moved: what the rows of a group do to a moving average, which becomes keep^n * old + moved.
 
     The update is affine, so it composes: each time chunk of a group is reduced
     on its own, then chunks are weighted by the number of later rows.  A group
@@ -221,15 +221,18 @@ def runtime_estimates(events: DataFrame, by: Sequence[str], order: str, runtime:
     rows = events.where(F.col(runtime).isNotNull()).withColumn("_chunk", chunk)
     inside = Window.partitionBy(*by, "_chunk").orderBy(F.col(order).desc(), *[F.col(k).desc() for k in keys])
     rows = rows.withColumn("_later", F.row_number().over(inside) - 1)
-    new = 1.0 - keep
     chunks = rows.groupBy(*by, "_chunk").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.lit(new) * F.pow(F.lit(keep), F.col("_later")) * F.col(runtime)).alias("_s"),
+        F.count(F.lit(1)).alias("_n"), F.sum(F.lit(1.0 - keep) * F.pow(F.lit(keep), F.col("_later")) * F.col(runtime)).alias("_s"),
         F.max_by(F.col(runtime), F.col("_later")).alias("_first"))
     after = Window.partitionBy(*by).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     weighed = chunks.withColumn("_after", F.coalesce(F.sum("_n").over(after), F.lit(0)))
-    total = F.sum("_n")
-    return weighed.groupBy(*by).agg(total.alias("n"), (
-        F.sum(F.pow(F.lit(keep), F.col("_after")) * F.col("_s")) + F.pow(F.lit(keep), total) * F.min_by("_first", "_chunk")).alias("estimate"))
+    return weighed.groupBy(*by).agg(F.sum("_n").alias("n"), F.min_by("_first", "_chunk").alias("first"), F.sum(F.pow(F.lit(keep), F.col("_after")) * F.col("_s")).alias("moved"))
+
+
+def runtime_estimates(events: DataFrame, by: Sequence[str], order: str, runtime: str, keys: Sequence[str], keep: float = 0.7, chunk_seconds: int = 3600) -> DataFrame:
+    """by, n, estimate: the moving average keep * old + (1 - keep) * new, started by the first value."""
+    pieces = estimate_pieces(events, by, order, runtime, keys, keep, chunk_seconds)
+    return pieces.select(*by, "n", (F.pow(F.lit(keep), F.col("n")) * F.col("first") + F.col("moved")).alias("estimate"))
 
 
 def status_counts(tasks: DataFrame, statuses: Sequence[str]) -> DataFrame:

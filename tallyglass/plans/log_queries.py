@@ -328,7 +328,7 @@ def t07(spark, d):
 
 @query("t08_running_estimates", EMA)
 def t08(spark, d):
-    path = J.run_batches(J.running_estimates(J.file_events(spark, d), "event_type", "value"), "estimates")
+    path = J.run_estimates(J.file_events(spark, d), "event_type", "value")
     return rounded(J.latest_rows(spark, path, ["key"]).withColumnRenamed("key", "event_type"))
 
 
@@ -345,6 +345,13 @@ def t10(spark, d):
     return spark.read.parquet(J.run_to_table(J.distinct_events(doubled, ["event_id"]), "distinct")).select("event_id", "event_type")
 
 
+@query("q15_repeats_in_a_stream", """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 86400000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM g)
+  SELECT user_id, event_type, event_id, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY ts, event_id) AS n FROM r) WHERE n > 1""")
+def q15r(spark, d):
+    return spark.read.parquet(J.run_to_table(J.repeated_events(J.file_events(spark, d), ["user_id", "event_type"], 86400), "repeats"))
+
+
 @query("q15_batch_quality", """SELECT 'contract:enum' AS "check", 'event_type' AS subject, count(*) FILTER (event_type NOT IN ('click', 'view', 'error', 'purchase'))::DOUBLE AS value, count(*) FILTER (event_type NOT IN ('click', 'view', 'error', 'purchase')) > 0 AS failed FROM events
   UNION ALL SELECT 'contract:unique', 'event_id', (count(event_id) - count(DISTINCT event_id))::DOUBLE, count(event_id) > count(DISTINCT event_id) FROM events
   UNION ALL SELECT 'duplicates', 'user_id,event_type', (SELECT count(*)::DOUBLE FROM (SELECT 1 FROM events GROUP BY user_id, event_type HAVING count(*) > 1)), true

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyglass.functions.expressions import one, union_all
 from tallyglass.operators.quality import check_duplicates, check_missing
+from tallyglass.operators.runlog import estimate_pieces
 from tallyglass.operators.schema import enforce_contract
 from tallyglass.session import fresh_path
 
@@ -231,18 +232,59 @@ def expiring_violations(violations: DataFrame, key: str, keep_seconds: float = 3
         track, "violation bigint, state string, at double", "since double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def running_estimates(events: DataFrame, by: str, runtime: str, keep: float = 0.7) -> DataFrame:
-    """by, n, estimate after each micro-batch: keep * old + (1 - keep) * new, started by the first value."""
-    def smooth(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, estimate = state.get if state.exists else (0, 0.0)
-        for x in _times(pdfs)[runtime]:
-            estimate = x if n == 0 else keep * estimate + (1 - keep) * x
-            n += 1
-        state.update((int(n), float(estimate)))
-        yield pd.DataFrame([(key[0], n, estimate)], columns=["key", "n", "estimate"])
+def run_estimates(stream: DataFrame, by: str, runtime: str, keep: float = 0.7, chunk_seconds: int = 3600, label: str = "estimates") -> str:
+    """key, n, estimate after each micro-batch: keep * old + (1 - keep) * new, started by the first value; returns the table's path.
 
-    return events.select(by, "event_id", "ts", runtime).groupBy(by).applyInPandasWithState(
-        smooth, "key string, n bigint, estimate double", "n bigint, estimate double", "update", GroupStateTimeout.NoTimeout)
+    Every micro-batch is folded to one affine step per key, time chunk by time chunk, so a key
+    with most of the stream uses all tasks; the step is then applied to the key's last state.
+    A batch's table holds the state of all keys and is made from the one before it, so a
+    repeated batch gives the same table.
+    """
+    spark = stream.sparkSession
+    path = fresh_path(spark, label)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        made = estimate_pieces(batch, [by], "ts", runtime, ["event_id"], keep, chunk_seconds).withColumnRenamed(by, "key").withColumnRenamed("n", "more")
+        if batch_id == 0:
+            old = made.select("key", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("estimate")).limit(0)
+        else:
+            old = spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
+        both = old.join(made, "key", "full")
+        moved = F.pow(F.lit(keep), F.col("more")) * F.coalesce("estimate", "first") + F.col("moved")
+        both.select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce(moved, "estimate").alias("estimate")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    stream.select(by, "event_id", "ts", runtime).writeStream.option("checkpointLocation", f"{path}-checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+def repeated_events(events: DataFrame, keys: Sequence[str], keep_seconds: float = 3600, delay: str = "10 minutes") -> DataFrame:
+    """keys, event_id, n: each event whose keys were seen before, in the same or an earlier micro-batch, no longer than `keep_seconds` before; n is its number in that run.
+
+    State is the count and the time of the last event of a key; it goes when the watermark
+    has passed that time by `keep_seconds`.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.withWatermark("ts", delay).select(*keys, "event_id", "ts")
+
+    def track(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, 0.0)
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            rows = _times(pdfs)
+            for event_id, t in zip(rows["event_id"], rows["_t"]):
+                n = n + 1 if n and t - last <= keep_seconds else 1
+                last = max(last, t)
+                if n > 1:
+                    out.append((*name, event_id, n))
+            state.update((int(n), float(last)))
+            state.setTimeoutTimestamp(max(int((last + keep_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[*keys, "event_id", "n"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return rows.groupBy(*keys).applyInPandasWithState(
+        track, f"{schema}, event_id {kinds['event_id']}, n bigint", "n bigint, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def due_retries(retries: DataFrame, task: str, due: str, delay: str = "0 seconds") -> DataFrame:

@@ -105,7 +105,7 @@ def test_retries_come_out_when_due(spark, folder, stream_folder):
 
 
 def test_running_estimate_over_batches(spark, folder, stream_folder):
-    path = J.run_batches(J.running_estimates(stream(spark, stream_folder), "event_type", "value"), "t")
+    path = J.run_estimates(stream(spark, stream_folder), "event_type", "value")
     got = {r["key"]: r["estimate"] for r in J.latest_rows(spark, path, ["key"]).collect()}
     rows = sorted((r for c in walk(spark, folder).values() for r in c), key=lambda r: (r["t"], r["event_id"]))
     want = {}
@@ -115,6 +115,39 @@ def test_running_estimate_over_batches(spark, folder, stream_folder):
     assert got == pytest.approx(want)
 
 
+def test_estimate_of_a_hot_key_and_of_keys_that_pause(spark):
+    """One key with nine tenths of the rows spread over hours; others that miss a batch or come late; nulls do not count."""
+    path = fresh_path(spark, "hot-events")
+    rows = [(i, i * 40, "hot" if i % 10 else ("first" if i < 300 else "late"), float(i % 7) if i % 13 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, t long, event_type string, value double").select(
+        "event_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), "event_type", "value", F.lit("").alias("props"))
+    for i in range(3):
+        df.where(f"event_id div 300 = {i}").coalesce(1).write.mode("append").parquet(path)
+    made = J.latest_rows(spark, J.run_estimates(stream(spark, path), "event_type", "value", chunk_seconds=600), ["key"]).collect()
+    want = {}
+    for _, _, k, v in rows:
+        if v is not None:
+            n, e = want.get(k, (0, v))
+            want[k] = (n + 1, 0.7 * e + 0.3 * v if n else v)
+    assert {r["key"]: r["n"] for r in made} == {k: n for k, (n, _) in want.items()}
+    assert {r["key"]: r["estimate"] for r in made} == pytest.approx({k: e for k, (_, e) in want.items()})
+
+
+def test_repeats_in_later_batches(spark, folder, stream_folder):
+    """Events whose user was seen within ten days before, whichever file the earlier one was in."""
+    keep = 10 * 86400
+    got = {r["event_id"]: r["n"] for r in spark.read.parquet(J.run_to_table(J.repeated_events(stream(spark, stream_folder), ["user_id"], keep, "3650 days"), "t")).collect()}
+    want = {}
+    for rows in walk(spark, folder).values():
+        n, last = 0, None
+        for r in rows:
+            n = n + 1 if last is not None and r["t"] - last <= keep else 1
+            last = r["t"]
+            if n > 1:
+                want[r["event_id"]] = n
+    assert got == want and want
+
+
 def test_malformed_events_become_nulls(spark):
     raw = spark.createDataFrame([('{"task_id": "a", "runtime_s": 1.5}',), ("not json",)], "line string")
     rows = J.parse_events(raw, "line", "task_id string, runtime_s double").collect()
