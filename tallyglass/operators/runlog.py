@@ -65,53 +65,70 @@ def orphaned_tasks(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     return lost.groupBy("run_id", "task_id").agg(F.count(F.lit(1)).alias("missing_dependencies"))
 
 
-def cycle_members(tasks: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """run_id, task_id of tasks on a dependency cycle.
+FEW_EDGES, PLAIN_ROUNDS = 32, 8
+
 
-    Tasks without an open dependency, or that nothing open depends on, are
-    peeled off until none is left to peel.  In the rest the largest id is spread along
-    the edges; a task whose own id comes back to it, and all it can reach with
-    that id, forms one cycle component, which is taken out, and so on.
-    Every round is a join over the remaining edges, cut by a reliable checkpoint.
+def _jumps(steps: DataFrame) -> list[DataFrame]:
+    """Tables (run_id, node, to) of 1, 2, 4, … steps along (run_id, node, to), one way on per node; a way that ends stays at its end.
+
+    Pointer doubling: the last table is as many steps as a run has nodes, so each node has its
+    way's end there, or, where the way never ends, a node of the circle it leads to.
     """
-    known = tasks.select("run_id", F.col("task_id").alias("dst"))
-    edges = tasks.select("run_id", F.col("task_id").alias("src"), F.explode("depends_on").alias("dst")).join(known, ["run_id", "dst"], "left_semi").distinct()
-    edges = cut_lineage(edges)
+    tables = [cut_lineage(steps)]
+    nodes = tables[0].groupBy("run_id").count().agg(F.max("count")).first()[0] or 0          # of the largest run
+    while 1 << (len(tables) - 1) < nodes:
+        last = tables[-1]
+        further = last.select("run_id", F.col("node").alias("to"), F.col("to").alias("_on"))
+        tables.append(cut_lineage(last.join(further, ["run_id", "to"], "left").select("run_id", "node", F.coalesce("_on", "to").alias("to"), F.col("_on").isNotNull().alias("_moved"))))
+        if tables[-1].where("_moved").isEmpty():                 # every way has ended
+            break
+    return [t.select("run_id", "node", "to") for t in tables]
+
+
+def _without_ends(edges: DataFrame) -> DataFrame:
+    """Edges (run_id, src, dst) without those that lead to an end, or come from a start, over nodes with one way on (or back)."""
+    def pruned(e: DataFrame, here: str, there: str) -> DataFrame:
+        ways = e.groupBy("run_id", F.col(here).alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min(there).alias("to"))
+        single = ways.where("_n = 1").select("run_id", "node", "to")
+        last = _jumps(single)[-1]
+        open_ends = last.join(ways.select("run_id", F.col("node").alias("to")), ["run_id", "to"], "left_anti").select("run_id", F.col("node").alias(here))
+        return cut_lineage(e.join(open_ends, ["run_id", here], "left_anti"))
+    left, rounds = edges.count(), 0
+    while left:
+        # A few plain rounds finish shallow graphs; chains that are left after that go as a whole.
+        starts, ends = edges.select("run_id", F.col("src").alias("dst")), edges.select("run_id", F.col("dst").alias("src"))
+        edges = cut_lineage(edges.join(starts, ["run_id", "dst"], "left_semi").join(ends, ["run_id", "src"], "left_semi"))
+        now = edges.count()
+        if now == left:
+            break
+        rounds += 1
+        if rounds % PLAIN_ROUNDS == 0:
+            edges = pruned(pruned(edges, "src", "dst"), "dst", "src")
+            now = edges.count()
+        left = now
+    return edges
+
+
+def _components(edges: DataFrame, trimmed: bool = False) -> DataFrame | None:
+    """(run_id, node, colour) of nodes on cycles; nodes of one cycle component share a colour. The largest id is spread along the edges; what its own id comes back to, and all it can reach with that id, is one component, which is taken out, and so on."""
     found = None
-
-    def peel(e: DataFrame) -> DataFrame:
-        left = e.count()
-        for _ in range(most_rounds):
-            if not left:
-                return e
-            starts = e.select("run_id", F.col("src").alias("dst"))
-            ends = e.select("run_id", F.col("dst").alias("src"))
-            e = cut_lineage(e.join(starts, ["run_id", "dst"], "left_semi").join(ends, ["run_id", "src"], "left_semi"))
-            now = e.count()
-            if now == left:
-                return e
-            left = now
-        raise RuntimeError("graph deeper than the round limit")
-
-    edges = peel(edges)
-    while edges.count():
-        # Largest id that can reach each node, itself included.
+    edges = edges if trimmed else _without_ends(edges)
+    while not edges.isEmpty():
         colour = edges.select("run_id", F.col("src").alias("node")).union(edges.select("run_id", F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node"))
         while True:
             pushed = edges.join(colour.withColumnRenamed("node", "src"), ["run_id", "src"]).select("run_id", F.col("dst").alias("node"), "colour")
             grown = colour.select("run_id", "node", "colour").union(pushed).groupBy("run_id", "node").agg(F.max("colour").alias("colour"))
             grown = cut_lineage(grown)
-            changed = grown.join(colour.withColumnRenamed("colour", "_old"), ["run_id", "node"]).where(F.col("colour") != F.col("_old")).limit(1).count()
+            changed = not grown.join(colour.withColumnRenamed("colour", "_old"), ["run_id", "node"]).where(F.col("colour") != F.col("_old")).isEmpty()
             colour = grown
             if not changed:
                 break
-        # Inside a colour, walk backwards from its root: what reaches the root is its component.
         same = edges.join(colour.withColumnRenamed("node", "src"), ["run_id", "src"]).join(
             colour.select("run_id", F.col("node").alias("dst"), F.col("colour").alias("_dc")), ["run_id", "dst"]).where(F.col("colour") == F.col("_dc"))
         same = cut_lineage(same.select("run_id", "src", "dst", "colour"))
         members = colour.where(F.col("node") == F.col("colour")).select("run_id", "node", "colour")
         size = members.count()
-        while True:
+        while True:                                               # backwards from each colour's own node
             back = same.join(members.withColumnRenamed("node", "dst"), ["run_id", "dst", "colour"]).select("run_id", F.col("src").alias("node"), "colour")
             members = cut_lineage(members.union(back).distinct())
             now = members.count()
@@ -121,13 +138,46 @@ def cycle_members(tasks: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         # A component is a cycle when one of its edges stays inside it.
         inner = same.join(members.select("run_id", F.col("node").alias("src"), "colour"), ["run_id", "src", "colour"], "left_semi").join(
             members.select("run_id", F.col("node").alias("dst"), "colour"), ["run_id", "dst", "colour"], "left_semi")
-        piece = inner.select("run_id", F.col("src").alias("task_id")).distinct()
+        piece = inner.select("run_id", F.col("src").alias("node"), "colour").distinct()
         found = piece if found is None else found.union(piece)
         done_src, done_dst = members.select("run_id", F.col("node").alias("src")), members.select("run_id", F.col("node").alias("dst"))
-        edges = peel(cut_lineage(edges.join(done_src, ["run_id", "src"], "left_anti").join(done_dst, ["run_id", "dst"], "left_anti")))
-    if found is None:
+        edges = _without_ends(cut_lineage(edges.join(done_src, ["run_id", "src"], "left_anti").join(done_dst, ["run_id", "dst"], "left_anti")))
+    return found
+
+
+def cycle_members(tasks: DataFrame) -> DataFrame:
+    """run_id, task_id of tasks on a dependency cycle.
+
+    Tasks with one dependency are followed by pointer doubling, so long chains and long
+    circles take as many rounds as their length has binary digits: ways that end are
+    taken off, circles that nothing leaves are found, and between tasks with several
+    dependencies a chain counts as one edge. Only on that shorter graph ids are spread edge
+    by edge, with rounds as long as its longest way. There is no limit of rounds.
+    """
+    known = tasks.select("run_id", F.col("task_id").alias("dst"))
+    edges = tasks.select("run_id", F.col("task_id").alias("src"), F.explode("depends_on").alias("dst")).join(known, ["run_id", "dst"], "left_semi").distinct()
+    edges = _without_ends(cut_lineage(edges))
+    if edges.isEmpty():
         return tasks.select("run_id", "task_id").limit(0)
-    return found.distinct()
+    if edges.groupBy("run_id").count().agg(F.max("count")).first()[0] <= FEW_EDGES:          # no way is longer: nothing to shorten
+        return _components(edges, trimmed=True).select("run_id", F.col("node").alias("task_id")).distinct()
+    ways = cut_lineage(edges.groupBy("run_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("to")))
+    single, several = ways.where("_n = 1").select("run_id", "node", "to"), ways.where("_n > 1").select("run_id", "node")
+    steps = _jumps(single)
+    circles = steps[-1].join(single.select("run_id", F.col("node").alias("to")), ["run_id", "to"], "left_semi").select("run_id", F.col("to").alias("task_id")).distinct()
+    ends = steps[-1].join(several.select("run_id", F.col("node").alias("to")), ["run_id", "to"], "left_semi")          # chains that lead to a task with several ways
+    whole = ends.union(several.select("run_id", "node", F.col("node").alias("to")))
+    short = cut_lineage(edges.join(several.withColumnRenamed("node", "src"), ["run_id", "src"], "left_semi").withColumnRenamed("dst", "node").join(whole, ["run_id", "node"])
+                        .select("run_id", "src", "node", F.col("to").alias("dst")))
+    parts = _components(short.select("run_id", "src", "dst").distinct())
+    if parts is None:
+        return circles.select("run_id", "task_id")
+    parts = cut_lineage(parts)
+    inside = short.join(parts.select("run_id", F.col("node").alias("src"), "colour"), ["run_id", "src"]).join(parts.select("run_id", F.col("node").alias("dst"), "colour"), ["run_id", "dst", "colour"])
+    on = inside.select("run_id", "node").union(parts.select("run_id", "node")).distinct()
+    for table in reversed(steps):                                 # every place along the chains between tasks of one component
+        on = cut_lineage(on.union(on.join(table, ["run_id", "node"]).select("run_id", F.col("to").alias("node"))).distinct())
+    return circles.union(on.select("run_id", F.col("node").alias("task_id"))).distinct()
 
 
 def sla_severity(age: Column, limit: Column) -> Column:

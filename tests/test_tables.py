@@ -181,6 +181,39 @@ def test_cycles(spark):
     assert got == {("r1", t) for t in "abcfij"} | {("r2", "i"), ("r2", "j")}
 
 
+@pytest.mark.parametrize("few", [0, 32])
+def test_cycles_of_random_graphs_against_plain_walks(spark, few, monkeypatch):
+    import random
+
+    monkeypatch.setattr(W, "FEW_EDGES", few)
+    monkeypatch.setattr(W, "PLAIN_ROUNDS", 1 + few // 4)
+
+    r, rows, want = random.Random(1), [], set()
+    for run in range(25):
+        n = r.randint(1, 14)
+        needs = {t: {r.randrange(n + 2) for _ in range(r.choice([0, 1, 1, 1, 1, 2, 3]))} for t in range(n)}
+        rows += [(run, t, sorted(d)) for t, d in needs.items()]
+        for t in needs:
+            seen, todo = set(), list(needs[t])
+            while todo:
+                x = todo.pop()
+                if x in needs and x not in seen:
+                    seen.add(x)
+                    todo += needs[x]
+            if t in seen:
+                want.add((run, t))
+    tasks = spark.createDataFrame(rows, "run_id long, task_id long, depends_on array<long>")
+    assert {(x["run_id"], x["task_id"]) for x in W.cycle_members(tasks).collect()} == want and want
+
+
+def test_long_chain_and_long_circle(spark):
+    """A chain of 50,000 tasks and a circle of 5,000: rounds grow with the digits of their length, not with it."""
+    chain = spark.range(50_000).select(F.lit(1).alias("run_id"), F.col("id").alias("task_id"), F.array(F.col("id") + 1).alias("depends_on"))
+    circle = spark.range(5_000).select(F.lit(2).alias("run_id"), F.col("id").alias("task_id"), F.array((F.col("id") + 1) % 5_000).alias("depends_on"))
+    found = W.cycle_members(chain.union(circle))
+    assert found.count() == 5_000 and found.where("run_id = 1").isEmpty()
+
+
 def test_planted_run_log(spark):
     now = datetime(2024, 1, 1, 12)
     at = lambda minutes: datetime(2024, 1, 1, 12 - (minutes // 60 + (minutes % 60 > 0)), (60 - minutes % 60) % 60)
