@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyglass.llm.common import keep_table, only
 
 WIDTH, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 700_000, 1 << 16
+SHARD_BYTES, RANGE_ENTRIES, MARK = 3_000_000, 500_000, 1 << 16
 MOST_RANGES, MOST_MARKS, CUT_BYTES = 1 << 16, 1 << 19, 32
 STOPS = b".,;:!?\n\x0b\x0c\r"
 #: Stops become one kind, tabs become blanks.
