@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyglass.llm.common import keep_table, only
 
 WIDTH, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_ENTRIES, MARK = 3_000_000, 500_000, 1 << 16
+SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 700_000, 1 << 16
 MOST_RANGES, MOST_MARKS, CUT_BYTES = 1 << 16, 1 << 19, 32
 STOPS = b".,;:!?\n\x0b\x0c\r"
 #: Stops become one kind, tabs become blanks.
@@ -326,7 +326,7 @@ def ranged(counted: DataFrame, cuts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, blob in ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in range(batch.num_rows)):
                 key = lang.encode("utf-8", "surrogatepass")
                 lo, hi = bisect_left(sent.value, (key,)), bisect_left(sent.value, (key + b"\x00",))
                 made = [(lo + i, Automaton.of(s).pack()) for i, s in Automaton.unpack(blob).unfold().cut([c[1:] for c in sent.value[lo:hi]])]
@@ -386,7 +386,8 @@ def collocations(docs: DataFrame, width: int = WIDTH, least: int = LEAST, top: i
     rows = only(docs, lang=lang_col, text=text_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counted = keep_table(shards(rows, width, shard_bytes), "shards")
     cuts = cuts_of(counted, range_entries)
-    held = keep_table(united(ranged(counted, cuts), cuts, least), "ranges")
+    few = counted.repartition(-(-counted.count() // 4) or 1)          # a task's batch holds few shards, however many share a file
+    held = keep_table(united(ranged(few, cuts), cuts, least), "ranges")
     found = held.where("blob IS NULL").select("lang", "phrase", "a", "cuts")
     cut = found.select("lang", "phrase", "a", F.explode("cuts").alias("cut")).select("lang", "phrase", "a", "cut.*")
     asked = cut.select(F.col("left_part").alias("part"), "lang", F.col("left").alias("words")).unionAll(cut.select("right_part", "lang", "right")).distinct()
