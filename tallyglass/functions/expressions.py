@@ -72,12 +72,13 @@ def sample_kurtosis(x: Column) -> Column:
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation over rows with both values; null when either side is constant there.
 
-    Not the built-in, which raises on a constant column under ANSI rules.  The
-    deviation of equal values is exactly 0 (every update and merge adds 0).
+    Not the built-in, which raises on a constant column under ANSI rules.  Least and
+    greatest value tell a constant: merging partial means can leave its deviation above 0.
     """
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def null_free_floats(df: DataFrame) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyglass.functions.expressions import count_if, dbl, numeric_columns, one, text_columns
+from tallyglass.functions.gram import gram_of_holes, summed
 from tallyglass.functions.ranking import exact_quantiles
 from tallyglass.operators.missing import missing_mechanism
 from tallyglass.operators.neighbors import nearest
 from tallyglass.operators.profile import modes
-from tallyglass.session import cut_lineage
 
 STRATEGIES = ("auto", "median", "mean", "mode", "zero", "constant")
 
@@ -98,51 +99,63 @@ def impute_knn(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> Data
     return result.withColumns(filled).drop(*[f"_i_{c}" for c in cols])
 
 
+def _replayed(x: np.ndarray, centre: np.ndarray, scale: np.ndarray, holes: Sequence[int], rounds: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(standardised values with fills after the given rounds, which were there) of rows x columns with NaN for null."""
+    seen = ~np.isnan(x)
+    z = np.where(seen, (x - centre) / scale, 0.0)
+    for betas in rounds:                                          # (p + 1) x holes, the intercept first
+        guess = betas[0] + z @ betas[1:]
+        z[:, holes] = np.where(seen[:, holes], z[:, holes], guess)
+    return z, seen
+
+
 def impute_iterative(df: DataFrame, cols: Sequence[str], max_iter: int = 10, ridge: float = 1e-6, tolerance: float = 1e-6) -> DataFrame:
     """Each incomplete column is regressed on the others until the fills settle.
 
-    A round is one aggregation of p x p sums (the solve is that small) and one
-    column expression; a reliable checkpoint cuts the lineage per round.
+    A row's fills follow from its own values and the coefficients of the rounds so far, so a
+    round is one scan that replays them and sums the products of all holes; nothing is
+    written between rounds and a lost executor costs its tasks only. The solves are
+    columns x columns. NaN counts as missing; a column without any value stays null.
     """
     cols = list(cols)
-    row = df.agg(*[F.avg(dbl(c)).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(dbl(c)).alias(f"s{i}") for i, c in enumerate(cols)],
-                 *[count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    mean = [row[f"m{i}"] or 0.0 for i in range(len(cols))]
-    scale = [row[f"s{i}"] or 1.0 for i in range(len(cols))]
-    holes = [i for i in range(len(cols)) if row[f"n{i}"]]
+    p = len(cols)
+    clean = lambda c: F.when(~F.isnan(dbl(c)), dbl(c))
+    row = df.agg(*[F.avg(clean(c)).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(clean(c)).alias(f"s{i}") for i, c in enumerate(cols)],
+                 *[count_if(clean(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    centre = np.array([row[f"m{i}"] or 0.0 for i in range(p)])
+    scale = np.array([row[f"s{i}"] or 1.0 for i in range(p)])
+    holes = [i for i in range(p) if row[f"n{i}"] and row[f"m{i}"] is not None]
     if not holes:
         return df
-    # Work on standardised copies; the originals tell which cells are observed.
-    state = df.withColumns({f"_z{i}": F.coalesce((dbl(c) - mean[i]) / scale[i], F.lit(0.0)) for i, c in enumerate(cols)})
-    previous = None
+    rounds: list[np.ndarray] = []
     for _ in range(max_iter):
-        sums = []
-        for t in holes:
-            seen = F.col(cols[t]).isNotNull()
-            for i in range(len(cols)):
-                sums.append(F.sum(F.when(seen, F.col(f"_z{i}"))).alias(f"s_{t}_{i}"))
-                for j in range(i, len(cols)):
-                    sums.append(F.sum(F.when(seen, F.col(f"_z{i}") * F.col(f"_z{j}"))).alias(f"g_{t}_{i}_{j}"))
-            sums.append(count_if(seen).alias(f"n_{t}"))
-        got = state.agg(*sums).first()
-        updates, weights = {}, []
-        for t in holes:
-            others = [i for i in range(len(cols)) if i != t]
-            g = lambda i, j: got[f"g_{t}_{min(i, j)}_{max(i, j)}"] or 0.0
-            n = got[f"n_{t}"]
-            gram = np.array([[n] + [got[f"s_{t}_{i}"] or 0.0 for i in others]] +
-                            [[got[f"s_{t}_{i}"] or 0.0] + [g(i, j) for j in others] for i in others], dtype=float)
-            right = np.array([got[f"s_{t}_{t}"] or 0.0] + [g(i, t) for i in others], dtype=float)
-            beta = np.linalg.solve(gram + ridge * max(1.0, n) * np.eye(len(gram)), right)
-            weights += beta.tolist()
-            guess = sum([F.lit(float(b)) * F.col(f"_z{i}") for b, i in zip(beta[1:], others)], F.lit(float(beta[0])))
-            updates[f"_z{t}"] = F.when(F.col(cols[t]).isNull(), guess).otherwise(F.col(f"_z{t}"))
-        state = cut_lineage(state.withColumns(updates))
-        if previous is not None and max(abs(a - b) for a, b in zip(weights, previous)) < tolerance:
+        done = list(rounds)
+
+        def products(x: np.ndarray, done: list[np.ndarray] = done) -> np.ndarray:
+            z, seen = _replayed(x, centre, scale, holes, done)
+            return gram_of_holes(z, seen, holes)
+        sums = summed(df, cols, len(holes), products, p + 1)
+        betas = np.zeros((p + 1, len(holes)))
+        for at, t in enumerate(holes):
+            others = [0] + [i + 1 for i in range(p) if i != t]
+            n = sums[at, 0, 0]
+            gram = sums[at][np.ix_(others, others)]
+            betas[others, at] = np.linalg.solve(gram + ridge * max(1.0, n) * np.eye(p), sums[at][others, t + 1])
+        settled = bool(rounds) and float(np.max(np.abs(betas - rounds[-1]))) < tolerance
+        rounds.append(betas)
+        if settled:
             break
-        previous = weights
-    filled = {cols[t]: F.coalesce(dbl(cols[t]), F.col(f"_z{t}") * scale[t] + mean[t]) for t in holes}
-    return state.withColumns(filled).drop(*[f"_z{i}" for i in range(len(cols))])
+
+    @F.pandas_udf("array<double>")
+    def fills(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in parts:
+            z, _ = _replayed(np.column_stack([c.to_numpy(float) for c in columns]), centre, scale, holes, rounds)
+            yield pd.Series(list(z[:, holes] * scale[holes] + centre[holes]))
+    held = "_fills"
+    while held in df.columns:
+        held += "_"
+    out = df.withColumn(held, fills(*[dbl(c) for c in cols]))
+    return out.withColumns({cols[t]: F.coalesce(clean(cols[t]), F.col(held)[at]) for at, t in enumerate(holes)}).drop(held)
 
 
 def choose_imputer(pattern: str, mar: str = "knn") -> tuple[str, int]:

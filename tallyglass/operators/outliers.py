@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyglass.functions.expressions import count_if, dbl, numeric_columns, one, per_column, ratio, sample_kurtosis, sample_skewness
+from tallyglass.functions.gram import EXPRESSIONS, pair_moments
 from tallyglass.functions.ranking import exact_quantiles
 from tallyglass.functions.smallmath import chi2_quantile, inverse_or_none
 from tallyglass.operators.neighbors import as_vector, nearest
@@ -78,14 +79,29 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], level: float = 0.975) -> Dat
     """
     cols, p = list(cols), len(cols)
     complete = df.dropna(subset=cols)
-    row = complete.agg(*[F.avg(dbl(c)).alias(f"m{i}") for i, c in enumerate(cols)], *[
-        F.covar_samp(dbl(cols[i]), dbl(cols[j])).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]).first()
-    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)])
+    wide = p * (p + 1) // 2 > EXPRESSIONS
+    if wide:
+        moments = pair_moments(complete, cols)
+        n = moments["n"][0, 0]
+        means, cov = moments["mean"][:, 0], moments["cov"] * (n / (n - 1)) if n > 1 else np.zeros((p, p))
+    else:
+        row = complete.agg(*[F.avg(dbl(c)).alias(f"m{i}") for i, c in enumerate(cols)], *[
+            F.covar_samp(dbl(cols[i]), dbl(cols[j])).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+        means = np.array([row[f"m{i}"] or 0.0 for i in range(p)])
+        cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)])
     inverse = inverse_or_none(cov)
     if inverse is None:
         inverse = np.linalg.pinv(cov)
-    centred = [dbl(c) - F.lit(float(row[f"m{i}"] or 0.0)) for i, c in enumerate(cols)]
-    d2 = sum([centred[i] * centred[j] * float(inverse[i, j]) for i in range(p) for j in range(p)], F.lit(0.0))
+    if wide:                                                      # p² terms are too many for an expression
+        @F.pandas_udf("double")
+        def distance(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in parts:
+                x = np.column_stack([c.to_numpy(float) for c in columns]) - means
+                yield pd.Series(((x @ inverse) * x).sum(axis=1))
+        d2 = distance(*[dbl(c) for c in cols])
+    else:
+        centred = [dbl(c) - F.lit(float(m)) for c, m in zip(cols, means)]
+        d2 = sum([centred[i] * centred[j] * float(inverse[i, j]) for i in range(p) for j in range(p)], F.lit(0.0))
     return complete.withColumn("d2", d2).withColumn("is_outlier", F.col("d2") > chi2_quantile(level, p))
 
 

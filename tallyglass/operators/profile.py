@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyglass.functions.expressions import (
     atomic_columns, count_if, dbl, distinct_counts, long_values, numeric_columns, one, per_column, ratio, safe_corr, sample_kurtosis,
     sample_skewness, text_columns, tidy, union_all)
+from tallyglass.functions.gram import EXPRESSIONS, pair_moments
 from tallyglass.functions.ranking import BUILTIN_ROWS, exact_quantiles, quantiles_of_counts, value_counts_of
 from tallyglass.session import cut_lineage
 from tallyglass.sources.readers import seeded_sample
@@ -169,10 +170,33 @@ def modes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return union_all(picked)
 
 
+def _many_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The same rows for many columns: two scans with matrix products instead of one expression per pair.
+
+    Only pairs whose variance the products cannot tell from rounding are settled by an expression each.
+    """
+    m = pair_moments(df, cols)
+    rows, doubtful = [], []
+    for i, j in combinations(range(len(cols)), 2):
+        va, vb, n = m["var"][i, j], m["var"][j, i], m["n"][i, j]
+        if n and va != 0 and vb != 0 and not (va > 0 and vb > 0):
+            doubtful.append((cols[i], cols[j]))
+        else:
+            rows.append((cols[i], cols[j], float(m["cov"][i, j] / math.sqrt(va * vb)) if n and va > 0 and vb > 0 else None))
+    found = df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
+    for at in range(0, len(doubtful), EXPRESSIONS):
+        part = doubtful[at:at + EXPRESSIONS]
+        one = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(part)])
+        found = found.unionAll(one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(part)]))))
+    return found
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """column_a, column_b, correlation for all a < b, over rows with both values."""
     cols = list(cols or numeric_columns(df))
     pairs = list(combinations(cols, 2))
+    if len(pairs) > EXPRESSIONS:
+        return _many_correlations(df, cols)
     stats = {f"{i}": {"correlation": safe_corr(F.col(a), F.col(b))} for i, (a, b) in enumerate(pairs)}
     names_a = F.array(*[F.lit(a) for a, _ in pairs])
     names_b = F.array(*[F.lit(b) for _, b in pairs])
