@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyglass.llm.common import keep_table, only
 
 WIDTH, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 700_000, 1 << 16
+SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 500_000, 1 << 16
 MOST_RANGES, MOST_MARKS, CUT_BYTES = 1 << 16, 1 << 19, 32
+STATES = 1 << 15
 STOPS = b".,;:!?\n\x0b\x0c\r"
 #: Stops become one kind, tabs become blanks.
 TO_STOPS = bytes.maketrans(STOPS + b"\t", b"." * len(STOPS) + b" ")
@@ -128,13 +129,14 @@ class Automaton:
             arcs["label"], arcs["target"], arcs["weight"] = label, targets, count
             above = len(given.levels[depth - 1][0]) if depth else 1
             ends = np.searchsorted(parent, np.arange(above + 1))
-            data, size, register = arcs.tobytes(), ARC.itemsize, {b"": 0}
-            marks = (ends * size).tolist()
-            states = [register.setdefault(data[lo:hi], len(register)) for lo, hi in zip(marks, marks[1:])]
+            data, size, register, states = arcs.tobytes(), ARC.itemsize, {b"": 0}, np.empty(above, np.int64)
+            for at in range(0, above, STATES):
+                marks = (ends[at:at + STATES + 1] * size).tolist()
+                states[at:at + STATES] = [register.setdefault(data[lo:hi], len(register)) for lo, hi in zip(marks, marks[1:])]
             held = b"".join(register)
             sizes = np.fromiter((len(k) // size for k in register), np.int64, len(register))
             depths.append((np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(held, ARC)))
-            targets = np.array(states, np.int64)
+            targets = states
         depths.reverse()
         begins, arcs = depths[0]
         depths[0] = (np.array([0, len(arcs)]), arcs)               # one root
@@ -272,8 +274,8 @@ def _slices(data: bytes, size: int, width: int) -> Iterator[tuple[list[bytes], i
         end = len(data) if len(data) - at <= size else data.find(b" ", at + size)
         end = len(data) if end < 0 else end
         tokens = context + data[at:end].split()
-        yield tokens, len(context)
-        context, at = tokens[-(width - 1):] if width > 1 else [], end
+        before, context, at = len(context), tokens[-(width - 1):] if width > 1 else [], end
+        yield tokens, before
 
 
 def shards(docs: DataFrame, width: int = WIDTH, size: int = SHARD_BYTES) -> DataFrame:
@@ -289,6 +291,7 @@ def shards(docs: DataFrame, width: int = WIDTH, size: int = SHARD_BYTES) -> Data
             sizes.pop(lang)
             for tokens, context in _slices(b" . ".join(held.pop(lang)), size, width):
                 n, found = count(tokens, context, width)
+                tokens.clear()                                     # the automaton needs no texts
                 if found.words:
                     marks = [{"one": a, "two": b} for a, b in found.marks(MARK)]
                     yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [n], "entries": [found.entries()], "marks": [marks], "blob": [Automaton.of(found).pack()]}, schema=schema)
