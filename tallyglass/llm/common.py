@@ -59,3 +59,13 @@ def map_rows(df: DataFrame, per_batch: Callable[..., dict], schema: str) -> Data
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def give_back() -> None:
+    """Return the memory that a task's arrays have freed to the system, as Spark keeps its workers for later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
+    if trim is not None:
+        trim(0)

@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyglass.llm.common import keep_table, only
+from tallyglass.llm.common import give_back, keep_table, only
 
 WIDTH, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 500_000, 1 << 16
+SHARD_BYTES, RANGE_ENTRIES, MARK = 2_500_000, 500_000, 1 << 16
 MOST_RANGES, MOST_MARKS, CUT_BYTES = 1 << 16, 1 << 19, 32
 STATES = 1 << 15
 STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -295,6 +295,8 @@ def shards(docs: DataFrame, width: int = WIDTH, size: int = SHARD_BYTES) -> Data
                 if found.words:
                     marks = [{"one": a, "two": b} for a, b in found.marks(MARK)]
                     yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [n], "entries": [found.entries()], "marks": [marks], "blob": [Automaton.of(found).pack()]}, schema=schema)
+                del found
+                give_back()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass").lower().translate(TO_STOPS).replace(b".", b" . ")
@@ -334,6 +336,8 @@ def ranged(counted: DataFrame, cuts) -> DataFrame:
                 lo, hi = bisect_left(sent.value, (key,)), bisect_left(sent.value, (key + b"\x00",))
                 made = [(lo + i, Automaton.of(s).pack()) for i, s in Automaton.unpack(blob).unfold().cut([c[1:] for c in sent.value[lo:hi]])]
                 yield pa.RecordBatch.from_pydict({"part": [m[0] for m in made], "lang": [lang] * len(made), "blob": [m[1] for m in made]}, schema=schema)
+                del made
+                give_back()
     return counted.select("lang", "blob").mapInArrow(run, "part int, lang string, blob binary")
 
 
@@ -356,6 +360,8 @@ def united(slices: DataFrame, cuts, least: int = LEAST) -> DataFrame:
                 parts = [(k, words[:k], words[k:]) for k in range(1, length)]
                 rows.append({"part": part, "lang": lang, "phrase": b" ".join(words).decode("utf-8", "surrogatepass"), "a": a, "cuts": [
                     {"k": k, "left": b" ".join(x).decode("utf-8", "surrogatepass"), "left_part": where(x), "right": b" ".join(y).decode("utf-8", "surrogatepass"), "right_part": where(y)} for k, x, y in parts]})
+        del found
+        give_back()
         return pa.Table.from_pylist(rows, schema=schema)
     return slices.groupBy("part", "lang").applyInArrow(run, "part int, lang string, phrase string, a long, cuts array<struct<k:int,left:string,left_part:int,right:string,right_part:int>>, blob binary")
 
