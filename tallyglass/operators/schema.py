@@ -62,30 +62,44 @@ def infer_types(df: DataFrame, review_below: float = 0.8, cols: Sequence[str] |
         "column", "inferred_type", "confidence", (F.col("confidence") < review_below).alias("needs_review"), "nullable", "distinct_count")
 
 
-def number_text(c: str) -> tuple[Column, Column]:
-    """(significant digits without leading zeros, exponent of the last of them) of a number's shortest decimal text."""
-    text = F.upper(F.abs(F.col(c)).cast("string"))
-    mantissa = F.regexp_extract(text, r"^([0-9.]+)", 1)
-    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    decimals = F.length(F.regexp_extract(mantissa, r"\.(\d+)$", 1))
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), r"^0+", "")
-    kept = F.regexp_replace(digits, r"0+$", "")
-    return kept, F.when(kept == "", 0).otherwise(power - decimals + F.length(digits) - F.length(kept))
+def number_texts(df: DataFrame, cols: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Per column i the significant digits without leading zeros of a number's shortest decimal text, `k{i}`, and the exponent of the last of them, `e{i}`; null for nulls, NaN and infinity. `w{i}`: the columns of `carry`.
+
+    Each step is a projection of its own, so that a number is turned into text once, and plain
+    text functions take the place of patterns.
+    """
+    number, others = range(len(cols)), [f"w{i}" for i in range(len(carry))]
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(dbl(c)) & (F.abs(dbl(c)) < float("inf"))
+    text = df.select(*[F.col(c).alias(w) for c, w in zip(carry, others)], *[F.when(finite(c), F.upper(F.abs(F.col(c)).cast("string"))).alias(f"t{i}") for i, c in enumerate(cols)])
+    parts = text.select(*others, *[x for i in number for x in (
+        F.substring_index(f"t{i}", "E", 1).alias(f"m{i}"),
+        F.when(F.contains(f"t{i}", F.lit("E")), F.substring_index(f"t{i}", "E", -1).try_cast("int")).otherwise(0).alias(f"p{i}"))])
+    digits = parts.select(*others, *[x for i in number for x in (
+        F.ltrim(F.replace(f"m{i}", F.lit("."), F.lit("")), F.lit("0")).alias(f"d{i}"),
+        (F.col(f"p{i}") - F.when(F.contains(f"m{i}", F.lit(".")), F.length(F.substring_index(f"m{i}", ".", -1))).otherwise(0)).alias(f"p{i}"))])
+    kept = digits.select(*others, *[x for i in number for x in (f"d{i}", f"p{i}", F.rtrim(F.col(f"d{i}"), F.lit("0")).alias(f"k{i}"))])
+    return kept.select(*others, *[x for i in number for x in (
+        F.col(f"k{i}"), F.when(F.col(f"k{i}") == "", 0).otherwise(F.col(f"p{i}") + F.length(f"d{i}") - F.length(f"k{i}")).alias(f"e{i}"))])
 
 
 def precision_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """column, precision, scale: largest digit and decimal counts over all rows, of numbers of any size; a zero before the point counts as a digit."""
-    types, stats = {f.name: f.dataType for f in df.schema}, {}
-    for c in cols or numeric_columns(df):
-        if isinstance(types[c], T.IntegralType):
-            digits, decimals = F.max(F.length(F.abs(F.col(c).cast("decimal(38,0)")).cast("string"))), F.max(F.lit(0))
+    types = {f.name: f.dataType for f in df.schema}
+    cols = list(cols or numeric_columns(df))
+    whole = [c for c in cols if isinstance(types[c], T.IntegralType)]
+    others = [c for c in cols if c not in whole]
+    stats = {}
+    for c in cols:
+        if c in whole:
+            ends = [x(f"w{whole.index(c)}").cast("decimal(38,0)") for x in (F.min, F.max)]
+            digits, decimals = F.greatest(*[F.length(F.abs(x).cast("string")) for x in ends]), F.max(F.lit(0))
         else:
-            kept, last = number_text(c)
-            finite = F.col(c).isNotNull() & ~F.isnan(dbl(c)) & (F.abs(dbl(c)) < float("inf"))
+            kept, last = f"k{others.index(c)}", F.col(f"e{others.index(c)}")
             size = F.greatest(F.length(kept) + F.greatest(last, F.lit(0)), -last + F.when(F.length(kept) + last <= 0, 1).otherwise(0), F.lit(1))
-            digits, decimals = F.max(F.when(finite, size)), F.max(F.when(finite, F.greatest(-last, F.lit(0))))
+            given = F.col(kept).isNotNull()
+            digits, decimals = F.max(F.when(given, size)), F.max(F.when(given, F.greatest(-last, F.lit(0))))
         stats[c] = {"precision": digits.cast("long"), "scale": decimals.cast("long")}
-    return per_column(df, stats)
+    return per_column(number_texts(df, others, whole), stats)
 
 
 def _id_rule(share: Column, hint: Column, threshold: float) -> Column:
