@@ -13,6 +13,15 @@ Nothing is capped or skipped that could change the result.
 
 Donors measured to fit SMALL_DONOR_BYTES are broadcast instead: then every
 query task finds its neighbours alone, without a shuffle of the queries.
+
+Vectors of more than WIDE components leave next to no cell out, so their queries and donors
+are cut into blocks and every two blocks meet in one task (`_near_blocks`): the cost is
+queries x donors, memory that of two blocks.
+
+Inside a task (`Donors`) short vectors lie in leaves with bounding boxes and a few close
+queries look only into leaves whose box may hold a closer donor; long ones are first
+compared by matrix products, with the rounding error added to every limit. The distances
+that count are always plain differences.
 """
 
 from __future__ import annotations
@@ -33,6 +42,9 @@ BLOCK_ROWS = 20_000
 CHUNK_DOUBLES = 4_000_000
 SMALL_DONOR_BYTES = 32_000_000
 SMALL_QUERY_ROWS = 10_000_000
+WIDE = 16                   # components from which boxes and cells rule out next to nothing
+WIDE_BLOCK_BYTES = 32_000_000
+DONOR_LEAF, QUERY_LEAF, FIRST_LEAVES = 64, 128, 16        # a group of queries spans about two leaves of donors
 
 
 def as_vector(*columns: str) -> Column:
@@ -62,6 +74,107 @@ def _closest(dist: np.ndarray, keys: list, need: int) -> list[list[tuple[float,
     return [sorted((float(row[j]), key) for j in np.nonzero(row <= top)[0] for key in keys[j])[:need] for row, top in zip(dist, limit)]
 
 
+def _leaves(matrix: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): the rows in runs of at most `size` close ones (more only if equal), by halves along the longest side."""
+    order, starts, todo = np.arange(len(matrix)), [], [(0, len(matrix))]
+    while todo:
+        lo, hi = todo.pop()
+        rows = order[lo:hi]
+        x = matrix[rows]
+        sides = x.max(axis=0) - x.min(axis=0) if hi - lo > size else np.zeros(1)
+        if not sides.max() > 0:
+            starts.append(lo)
+            continue
+        half = (hi - lo) // 2
+        order[lo:hi] = rows[np.argpartition(x[:, sides.argmax()], half)]
+        todo += [(lo + half, hi), (lo, lo + half)]
+    return order, np.array(starts)
+
+
+class Donors:
+    """Distinct donor vectors of one task with the keys that stand for each, searched without a look at most of them."""
+
+    def __init__(self, matrix: np.ndarray, keys: list, metric: str = "euclidean"):
+        self.matrix, self.keys, self.metric, self.kind = matrix, keys, metric, "plain"
+        if not len(matrix) or not np.isfinite(matrix).all():
+            return
+        if matrix.shape[1] <= WIDE:
+            self.kind = "boxes"
+            order, self.starts = _leaves(matrix, DONOR_LEAF)
+            self.matrix, self.keys = matrix[order], [keys[i] for i in order]
+            self.sizes = np.diff(np.append(self.starts, len(matrix)))
+            self.lows, self.highs = (f.reduceat(self.matrix, self.starts, axis=0) for f in (np.minimum, np.maximum))
+        elif metric == "euclidean" and 1e-100 < np.abs(matrix).max() < 1e100:
+            self.kind = "products"
+            self.center = matrix.mean(axis=0)
+            self.scale = 2.0 ** -np.ceil(np.log2(max(np.abs(matrix - self.center).max(), 1e-100) * math.sqrt(matrix.shape[1])))
+            self.small = ((matrix - self.center) * self.scale).astype(np.float32)
+            self.squares = np.einsum("ij,ij->i", self.small, self.small)
+
+    def closest(self, queries: np.ndarray, need: int) -> list[list[tuple[float, object]]]:
+        """Per query the `need` smallest (distance, key) pairs."""
+        finite = np.isfinite(queries).all()
+        if self.kind == "boxes" and finite:
+            return self._by_boxes(queries, need)
+        if self.kind == "products" and finite and np.abs((queries - self.center) * self.scale).max(initial=0) < 1e6:
+            return [x for start in range(0, len(queries), 512) for x in self._by_products(queries[start:start + 512], need)]
+        return [x for _, dist in _distances(queries, self.matrix, self.metric) for x in _closest(dist, self.keys, need)]
+
+    def _rows(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(s, s + n) for s, n in zip(self.starts[leaves], self.sizes[leaves])])
+
+    def _by_boxes(self, queries: np.ndarray, need: int) -> list:
+        found: list = [None] * len(queries)
+        order, starts = _leaves(queries, max(4, min(QUERY_LEAF, 2 * DONOR_LEAF * len(queries) // len(self.matrix))))
+        for rows in np.split(order, starts[1:]):
+            part = queries[rows]
+            apart = np.maximum(0, np.maximum(self.lows - part.max(axis=0), part.min(axis=0) - self.highs))
+            gap = apart.max(axis=1) if self.metric == "maximum" else np.sqrt(np.einsum("ij,ij->i", apart, apart))
+            most = min(len(gap), max(need, FIRST_LEAVES))
+            near = np.argpartition(gap, most - 1)[:most]
+            near = near[np.argsort(gap[near])]
+            held = np.cumsum(self.sizes[near])
+            bound = np.inf
+            if held[-1] >= need:
+                some = max(int(np.searchsorted(held, need)) + 1, min(FIRST_LEAVES, int((gap == 0).sum())))
+                first = self.matrix[self._rows(near[:some])]
+                bound = max(np.partition(dist, need - 1, axis=1)[:, need - 1].max() for _, dist in _distances(part, first, self.metric))
+            at = self._rows(np.flatnonzero(gap <= bound * (1 + 1e-9)))
+            keys = [self.keys[j] for j in at]
+            for start, dist in _distances(part, self.matrix[at], self.metric):
+                for i, best in zip(rows[start:start + len(dist)], _closest(dist, keys, need)):
+                    found[i] = best
+        return found
+
+    def _by_products(self, queries: np.ndarray, need: int) -> list:
+        small = ((queries - self.center) * self.scale).astype(np.float32)
+        squares = np.einsum("ij,ij->i", small, small)
+        slack = 2 * (queries.shape[1] + 16) * 6e-8 * (squares.astype(float) + float(self.squares.max()))       # of rounding, inputs included
+        limit, n, width = np.full(len(queries), np.inf), len(self.matrix), max(8192, need)
+        row, at, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for lo in range(0, n, width):
+            about = squares[:, None] + self.squares[None, lo:lo + width] - 2 * (small @ self.small[lo:lo + width].T)
+            if not lo and about.shape[1] >= need:
+                limit = np.partition(about, need - 1, axis=1)[:, need - 1] + 2 * slack
+            r, c = np.nonzero(about <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None])
+            c += lo
+            exact = [np.empty(0)]
+            for start in range(0, len(r), 50_000):
+                diff = queries[r[start:start + 50_000]] - self.matrix[c[start:start + 50_000]]
+                exact.append(np.sqrt(np.einsum("ik,ik->i", diff, diff)))
+            row, at, dist = np.append(row, r), np.append(at, c), np.append(dist, np.concatenate(exact))
+            order = np.lexsort((dist, row))
+            row, at, dist = row[order], at[order], dist[order]
+            begin, end = np.searchsorted(row, np.arange(len(queries))), np.searchsorted(row, np.arange(len(queries)), "right")
+            kth = np.where(end - begin >= need, dist[np.minimum(begin + need, end) - 1] if len(dist) else np.inf, np.inf)
+            limit = np.minimum(limit, (kth * self.scale) ** 2 + slack)
+            kept = dist <= kth[row]
+            row, at, dist = row[kept], at[kept], dist[kept]
+        cuts = np.searchsorted(row, np.arange(len(queries) + 1))
+        pairs = list(zip(dist.tolist(), at.tolist()))
+        return [sorted((x, key) for x, j in pairs[a:b] for key in self.keys[j])[:need] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def _near_broadcast(rows: DataFrame, donors: DataFrame, key_type: str, need: int, metric: str) -> DataFrame:
     """(g, key, near) with the donors, whose size the caller has measured, sent to every task."""
     groups: dict[str, tuple[list, list]] = {}
@@ -74,22 +187,43 @@ def _near_broadcast(rows: DataFrame, donors: DataFrame, key_type: str, need: int
     if n <= SMALL_QUERY_ROWS:      # few rows come in few partitions: spread the distance work over the cores
         work = n * sum(len(v) * len(v[0]) for v, _ in groups.values()) / 20_000_000
         rows = rows.repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, math.ceil(work))))
-    shared = spark.sparkContext.broadcast({g: (np.array(v, dtype=float), k) for g, (v, k) in groups.items()})
+    shared = spark.sparkContext.broadcast({g: Donors(np.array(v, dtype=float), k, metric) for g, (v, k) in groups.items()})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for g, part in pdf.groupby("g"):
                 if g not in shared.value:
                     continue
-                matrix, keys = shared.value[g]
-                near = []
-                for _, dist in _distances(_matrix(part["vec"]), matrix, metric):
-                    near += [[{"distance": x, "neighbour": n} for x, n in found] for found in _closest(dist, keys, need)]
+                near = [[{"distance": x, "neighbour": n} for x, n in found] for found in shared.value[g].closest(_matrix(part["vec"]), need)]
                 yield pd.DataFrame({"g": part["g"], "key": part["key"], "near": pd.Series(near, index=part.index)})
 
     return rows.mapInPandas(search, f"g string, key {key_type}, near array<struct<distance: double, neighbour: {key_type}>>")
 
 
+def _near_blocks(queries: DataFrame, donors: DataFrame, sizes: dict[str, int], key_type: str, need: int, block_rows: int, metric: str) -> DataFrame:
+    """(g, qid, near) of queries (g, qid, vec): blocks of queries and donors of bounded size, every two in one task, which gives its `need` closest."""
+    asked = {r["g"]: r["n"] for r in queries.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tasks = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    plan = []
+    for g in asked.keys() & sizes.keys():
+        parts = math.ceil(sizes[g] / block_rows)
+        plan.append((g, max(math.ceil(asked[g] / block_rows), min(math.ceil(asked[g] / 500), math.ceil(tasks / parts))), parts))
+    load = F.broadcast(queries.sparkSession.createDataFrame(plan or [("", 1, 1)], "g string, q_parts long, d_parts long"))          # one row per group
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = queries.join(load, "g").withColumn("q_block", F.pmod(F.xxhash64("qid"), F.col("q_parts"))).withColumn("d_block", every("d_parts"))
+    right = donors.join(load, "g").withColumn("d_block", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("d_parts"))).withColumn("q_block", every("q_parts"))
+
+    def solve(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(ds):
+            return pd.DataFrame({"g": [], "qid": [], "near": []})
+        found = Donors(_matrix(ds["vec"]), ds["keys"].tolist(), metric).closest(_matrix(qs["vec"]), need)
+        return pd.DataFrame({"g": qs["g"], "qid": qs["qid"], "near": pd.Series([[{"distance": x, "neighbour": n} for x, n in f] for f in found], index=qs.index)})
+    keys = ["g", "q_block", "d_block"]
+    met = _renewed(left.select(*keys, "qid", "vec")).groupBy(*keys).cogroup(_renewed(right.select(*keys, "vec", "keys")).groupBy(*keys)).applyInPandas(
+        solve, f"g string, qid {key_type}, near array<struct<distance: double, neighbour: {key_type}>>")
+    return met.groupBy("g", "qid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, need).alias("near"))          # `need` of each block of donors
+
+
 def _renewed(df: DataFrame) -> DataFrame:
     """The same columns under new identities, so that a table can meet one that was made from it."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -220,12 +354,9 @@ class PivotTree:
         def solve(_, qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
             if not len(qs) or not len(ds):
                 return pd.DataFrame({"g": [], "qid": [], "neighbour": [], "distance": []})
-            a, b, keys = _matrix(qs["vec"]), _matrix(ds["vec"]), ds["keys"].tolist()
-            found = []
-            for start, dist in _distances(a, b, metric):
-                for i, best in enumerate(_closest(dist, keys, need)):
-                    found += [(qs["g"].iat[start + i], qs["qid"].iat[start + i], n, x) for x, n in best]
-            return pd.DataFrame(found, columns=["g", "qid", "neighbour", "distance"])
+            found = Donors(_matrix(ds["vec"]), ds["keys"].tolist(), metric).closest(_matrix(qs["vec"]), need)
+            rows = [(g, q, n, x) for g, q, best in zip(qs["g"].tolist(), qs["qid"].tolist(), found) for x, n in best]
+            return pd.DataFrame(rows, columns=["g", "qid", "neighbour", "distance"])
         cell = ["g", "coarse", "cell"]
         load = visits.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("q_parts"))
         plan = self.cells.select(*cell, F.ceil(F.col("vectors") / block_rows).cast("long").alias("parts")).join(load, cell)        # one row per visited cell
@@ -277,7 +408,7 @@ def nearest(queries: DataFrame, donors: DataFrame, key: str, vec: str, k: int, b
     d = (d_rows.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= need)
          .groupBy("g", "vec").agg(F.sort_array(F.collect_list("key")).alias("keys")))
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    measured = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec") * 8 + F.size("keys") * 24).alias("bytes")).collect()
+    measured = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec") * 8 + F.size("keys") * 24).alias("bytes"), F.max(F.size("vec")).alias("width")).collect()
     named = [F.col("g").alias(by)] if by else []
     if sum(r["bytes"] for r in measured) <= small_bytes:
         listed = _near_broadcast(q_rows, d, key_type, need, metric)
@@ -287,9 +418,14 @@ def nearest(queries: DataFrame, donors: DataFrame, key: str, vec: str, k: int, b
         return out.select(*named, F.col("key").alias(key), "_s.neighbour", "_s.distance", (F.col("_p") + 1).alias("rank"))
 
     q = cut_lineage(q_rows.groupBy("g", "vec").agg(F.min("key").alias("qid")))
-    tree = PivotTree(d, {r["g"]: r["n"] for r in measured}, key_type, need, block_rows, max_pivots, metric)
-    d.unpersist()
-    lists, _ = tree.search(q)
+    sizes, width = {r["g"]: r["n"] for r in measured}, max(r["width"] for r in measured)
+    if width > WIDE:
+        kept = cut_lineage(d)
+        d.unpersist()
+        lists = _near_blocks(q, kept, sizes, key_type, need, max(1, min(WIDE_BLOCK_BYTES // (8 * width), block_rows * 4)), metric)
+    else:
+        lists, _ = PivotTree(d, sizes, key_type, need, block_rows, max_pivots, metric).search(q)
+        d.unpersist()
     by_vector = q.join(lists, ["g", "qid"]).select("g", "vec", "near")
     rows = q_rows.join(by_vector, ["g", "vec"])
     kept = F.col("near")
