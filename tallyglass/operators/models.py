@@ -15,6 +15,7 @@ from tallyglass.operators.metrics import shuffled_label
 from tallyglass.operators.neighbors import nearest
 from tallyglass.operators.profile import target_correlation
 from tallyglass.operators.sampling import random_split, stratified_folds
+from tallyglass.session import cut_lineage
 
 MODELS = ("decision_tree", "random_forest", "gradient_boosting", "logistic_regression", "naive_bayes", "svm")
 
@@ -93,8 +94,9 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, keys: Seq
 
 def shuffled_target_test(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], limit: float = 0.7, seed: int = 42) -> DataFrame:
     """Accuracy of a depth-3 tree trained on permuted labels; above the limit something leaks."""
-    parts = random_split(df, keys, 0.2, seed)
-    train = shuffled_label(parts.where(F.col("part") == "train"), label, keys, seed)
+    parts = random_split(df.select(*dict.fromkeys([*keys, *features, label])), keys, 0.2, seed)          # the ranks shuffle what the tree needs, no more
+    parts = cut_lineage(parts)                                                                              # read by the permutation twice and by the test
+    train = cut_lineage(shuffled_label(parts.where(F.col("part") == "train").drop("part"), label, keys, seed))          # training reads it many times: permute once
     row = train_and_score(train, parts.where(F.col("part") == "test"), features, label, "decision_tree", maxDepth=3)
     return row.select(F.col("accuracy").alias("shuffled_accuracy"), (F.col("accuracy") > limit).alias("leakage_detected"))
 
