@@ -13,7 +13,7 @@ lines except in the document with the largest id that holds the key.
    order: fingerprint (the other 64 bits of the hash), document count, keeper id. The
    shard is one file in the shared folder; the manifest of a written table names the
    file of the task that won, so retried tasks leave at most an unused file.
-3. Documents probe the arrays, a batch at a time, shard by shard; no line is joined
+3. Documents probe the arrays, a slice of a batch at a time, shard by shard; no line is joined
    with anything. A worker keeps at most `cache_bytes` of shards.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyglass.llm.common import keep_table, only, store
+from tallyglass.llm.common import give_back, keep_table, only, slices, store
 from tallyglass.session import fresh_path
 
 
@@ -134,7 +134,7 @@ class Shard:
 def count_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(high, low, n_docs, keeper) of the keys in at least `min_docs` documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = line_hashes(text, min_chars)[1]
@@ -145,6 +145,7 @@ def count_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             if ids:
                 rows = np.vstack(hashes).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(ids, pa.int64())], names=["high", "low", "doc_id"])
+        give_back()
     held = docs.mapInArrow(run, "high bigint, low bigint, doc_id bigint")
     return held.groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
 
@@ -164,6 +165,8 @@ def build_index(counted: DataFrame, shard_keys: int = 200_000) -> tuple[dict[int
         files, inner = store(path)
         with files.open_output_stream(inner, compression=None) as out:
             out.write(made.dumps())
+        del made
+        give_back()
         return pd.DataFrame({"shard": [key[0]], "path": [path]})
     dealt = counted.where("keeper IS NOT NULL").withColumn("shard", F.expr(f"CAST(pmod(low, {shards}) AS INT)"))
     manifest = keep_table(dealt.groupBy("shard").applyInPandas(build, "shard int, path string"), "line-manifest")
@@ -206,10 +209,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_k
     carried = only(docs, **{"doc_id": id_col, "text": text_col} | {f"x{i}": c for i, c in enumerate(carry)}).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     schema = T.StructType([*carried.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     arrow = to_arrow_schema(schema)
+    size = 4 << 20 if shards * shard_keys * 24 <= cache_bytes else 32 << 20          # of a slice: shards that are not kept are read for each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Shards(paths, cache_bytes)
-        for batch in batches:
+        for batch in slices(batches, size):
             ids = batch.column(0).to_pylist()
             split, held = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -231,5 +235,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_k
             made = [batch.column(0), pa.array(texts, pa.binary()).cast(arrow.field(1).type), *batch.columns[2:],
                     pa.array([len(x) for x in split], pa.int64()), pa.array([len(x) for x in gone], pa.int64())]
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
+            del batch, split, held, rows, texts, made
+        del index
+        give_back()
     out = carried.mapInArrow(run, schema)
     return out.toDF("doc_id", "text", *carry, "n_lines", "n_dropped")

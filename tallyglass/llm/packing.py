@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyglass.llm.common import keep_table, map_rows, only
+from tallyglass.llm.common import give_back, keep_table, only, slices
 from tallyglass.llm.vocab import chunks, word_ids
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, task_rank bigint"
@@ -33,7 +33,7 @@ def cut_pieces(docs: DataFrame, name: str, end_id: int, length: int, id_col: str
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for at, some in chunks(texts):
@@ -45,6 +45,7 @@ def cut_pieces(docs: DataFrame, name: str, end_id: int, length: int, id_col: str
                         seen[len(part)] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        give_back()
     types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
     names = [c.split()[0] for c in PIECE.split(", ")]
     return only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, PIECE)
