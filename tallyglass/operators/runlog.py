@@ -208,10 +208,13 @@ def latest_violations(violations: DataFrame, limit: int = 100) -> DataFrame:
 
 def ready_tasks(tasks: DataFrame) -> DataFrame:
     """run_id, task_id of pending tasks whose dependencies have all completed."""
-    needs = tasks.where(is_status("status", "PENDING")).select("run_id", "task_id", F.explode_outer("depends_on").alias("needed"))
-    state = tasks.groupBy("run_id", F.col("task_id").alias("needed")).agg(F.min(one(is_status("status", "COMPLETED"))).alias("_done"))
-    joined = needs.join(state, ["run_id", "needed"], "left")
-    open_needs = count_if(F.col("needed").isNotNull() & (F.coalesce("_done", F.lit(0)) == 0))
+    # A fixed number of partitions: sort, aggregation and join of a task hold their rows at once, so partitions united by their packed size are too large for it.
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needs = tasks.where(is_status("status", "PENDING")).select("run_id", "task_id", F.explode_outer("depends_on").alias("needed")).repartition(parts, "run_id", "needed")
+    state = tasks.select("run_id", F.col("task_id").alias("needed"), one(is_status("status", "COMPLETED")).alias("_done")).repartition(parts, "run_id", "needed")
+    done = state.groupBy("run_id", "needed").agg(F.min("_done").alias("_done")).where("_done = 1")
+    joined = needs.join(done, ["run_id", "needed"], "left")
+    open_needs = count_if(F.col("needed").isNotNull() & F.col("_done").isNull())
     return joined.groupBy("run_id", "task_id").agg(open_needs.alias("_open")).where(F.col("_open") == 0).select("run_id", "task_id")
 
 
