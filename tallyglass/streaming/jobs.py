@@ -107,63 +107,119 @@ def recent_counts(events: DataFrame, client: str, seconds: float = 60, sub_hour:
     return counted.where(F.col("_chunk") == F.floor(F.col("_t") / width)).drop("_t", "_chunk")
 
 
-# ---- stateful jobs: state per key, batches of a key arrive as an iterator ----
+# ---- stateful jobs: state per key; a call of Python serves all keys of a bucket ----
+
+KEY_BUCKETS = 4096
+NO_TIMER = -1
+
 
 def _times(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Arrival order of one key's micro-batch: time, then id.
+    """Arrival order of a bucket's micro-batch: time, then id.
 
     These rules are sequential per client; files_per_trigger (or the source's
     offset limit) bounds how much of a busy client one micro-batch holds.
     """
     rows = pd.concat(list(pdfs), ignore_index=True)
     rows["_t"] = rows["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6
-    return rows.sort_values(["_t", "event_id"], kind="stable")
+    return rows.sort_values(["_t", "_no_id", "_id"], kind="stable")
+
+
+def _keyed(rows: DataFrame, keys: Mapping[str, str], others: Sequence[str], walk: Callable[..., tuple], out: str, state: Sequence[str],
+           expire: Callable[..., tuple] | None = None, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """A walk over the rows of each key in arrival order, micro-batch by micro-batch.
+
+    `keys`: column -> type and name in the result; types of one value that text can stand for.
+    `walk(kept, rows, mark)` and `expire(kept, mark)` return (rows of the result without the key,
+    what to keep or None, time in ms of the key's timer or None); `kept` are the values of the
+    types in `state`, rows are (event_id, seconds, *others), `mark` is the watermark in ms. A timer
+    calls `expire` once the watermark has passed it, unless the key has new rows.
+
+    Spark calls Python once per group, at several ms each, so groups are buckets of keys by hash:
+    calls are bounded by `buckets`, and a bucket's state lists its keys.
+    """
+    names, fields = list(keys), [f"f{i}" for i in range(len(state))]
+    texts = [f"k{i}" for i in range(len(names))]
+    kinds = dict(rows.dtypes)
+    dealt = rows.select(F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int").alias("_bucket"), *[F.col(n).cast("string").alias(t) for n, t in zip(names, texts)],
+                        F.coalesce("event_id", F.lit("0").cast(kinds["event_id"])).alias("_id"), F.col("event_id").isNull().alias("_no_id"), "ts", *others)
+
+    def run(_, pdfs: Iterator[pd.DataFrame], stored: GroupState) -> Iterator[pd.DataFrame]:
+        held, met, made = {}, {}, []
+        if stored.exists:
+            for item in zip(*stored.get):
+                held[item[:len(texts)]] = item[len(texts):]
+        mark = stored.getCurrentWatermarkMs() if expire else None
+        if not stored.hasTimedOut:
+            got = _times(pdfs)
+            ids = [None if no else i for i, no in zip(got["_id"].tolist(), got["_no_id"].tolist())]
+            named = zip(*[[v if isinstance(v, str) else None for v in got[t].tolist()] for t in texts])
+            for key, row in zip(named, zip(ids, got["_t"].tolist(), *[got[c].tolist() for c in others])):
+                met.setdefault(key, []).append(row)
+
+        def put(key: tuple, result: tuple) -> None:
+            rows, kept, due = result
+            made.extend((*key, *r) for r in rows)
+            if kept is None:
+                held.pop(key, None)
+            else:
+                held[key] = (*kept, NO_TIMER if due is None else due)
+        for key in [k for k, v in held.items() if NO_TIMER != v[-1] < mark and k not in met] if expire else ():
+            put(key, expire(held[key][:-1], mark))
+        for key, some in met.items():
+            put(key, walk(held[key][:-1] if key in held else None, some, mark))
+        if held:
+            stored.update(tuple(list(x) for x in zip(*[(*k, *v) for k, v in held.items()])))
+            timers = [v[-1] for v in held.values() if v[-1] != NO_TIMER]
+            if timers:
+                stored.setTimeoutTimestamp(min(timers))
+        elif stored.exists:
+            stored.remove()
+        yield pd.DataFrame(made, columns=[*texts, *columns])
+
+    columns = [c.split()[0] for c in out.split(", ")]
+    schema = ", ".join([*[f"{t} string" for t in texts], out])
+    kept = ", ".join([*[f"{t} array<string>" for t in texts], *[f"{f} array<{k}>" for f, k in zip(fields, state)], "due array<bigint>"])
+    found = dealt.groupBy("_bucket").applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+    return found.select(*[F.col(t).cast(keys[n].split()[1]).alias(keys[n].split()[0]) for n, t in zip(names, texts)], *columns)
 
 
 def sliding_limit(events: DataFrame, client: str, requests: int, seconds: float) -> DataFrame:
     """client, event_id, allowed, wait_seconds: at most `requests` accepted in any `seconds`; rejected ones do not count.
 
-    State is the accepted times still inside the window: at most `requests` numbers.
+    State is the accepted times still inside the window: at most `requests` numbers of a client.
     """
-    def limit(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = deque(state.get[0]) if state.exists else deque()
-        rows = _times(pdfs)
+    def limit(kept: tuple | None, rows: list[tuple], _) -> tuple:
+        accepted = deque(kept[0]) if kept else deque()
         out = []
-        for event_id, t in zip(rows["event_id"], rows["_t"]):
+        for event_id, t in rows:
             while accepted and accepted[0] < t - seconds:
                 accepted.popleft()
             if len(accepted) < requests:
                 accepted.append(t)
-                out.append((key[0], event_id, True, 0.0))
+                out.append((event_id, True, 0.0))
             else:
-                out.append((key[0], event_id, False, seconds - (t - accepted[0])))
-        state.update((list(accepted),))
-        yield pd.DataFrame(out, columns=["client", "event_id", "allowed", "wait_seconds"])
+                out.append((event_id, False, seconds - (t - accepted[0])))
+        return out, (list(accepted),), None
 
-    return events.select(client, "event_id", "ts").groupBy(client).applyInPandasWithState(
-        limit, "client bigint, event_id bigint, allowed boolean, wait_seconds double", "accepted array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(events, {client: "client bigint"}, [], limit, "event_id bigint, allowed boolean, wait_seconds double", ["array<double>"])
 
 
 def token_bucket(events: DataFrame, client: str, capacity: float, refill_per_second: float, cost: float = 1.0) -> DataFrame:
     """client, event_id, allowed, wait_seconds, tokens: a full bucket at first, refilled by elapsed time, drained by accepted requests."""
-    def pour(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, None)
-        rows = _times(pdfs)
+    def pour(kept: tuple | None, rows: list[tuple], _) -> tuple:
+        tokens, last = kept or (capacity, None)
         out = []
-        for event_id, t in zip(rows["event_id"], rows["_t"]):
+        for event_id, t in rows:
             if last is not None:
                 tokens = min(capacity, tokens + max(0.0, t - last) * refill_per_second)
             last = t if last is None else max(last, t)
             allowed = tokens >= cost
             wait = 0.0 if allowed else (cost - tokens) / refill_per_second
             tokens -= cost if allowed else 0.0
-            out.append((key[0], event_id, allowed, wait, tokens))
-        state.update((float(tokens), float(last)))
-        yield pd.DataFrame(out, columns=["client", "event_id", "allowed", "wait_seconds", "tokens"])
+            out.append((event_id, allowed, wait, tokens))
+        return out, (float(tokens), float(last)), None
 
-    return events.select(client, "event_id", "ts").groupBy(client).applyInPandasWithState(
-        pour, "client bigint, event_id bigint, allowed boolean, wait_seconds double, tokens double", "tokens double, last double", "append",
-        GroupStateTimeout.NoTimeout)
+    return _keyed(events, {client: "client bigint"}, [], pour, "event_id bigint, allowed boolean, wait_seconds double, tokens double", ["double", "double"])
 
 
 def deadline_alerts(events: DataFrame, task: str, started: Column, finished: Column, limit_seconds: float, delay: str = "10 minutes") -> DataFrame:
@@ -173,63 +229,45 @@ def deadline_alerts(events: DataFrame, task: str, started: Column, finished: Col
     otherwise an event-time timer does when the watermark passes it.
     """
     kinds = events.withWatermark("ts", delay).select(
-        task, "event_id", "ts", F.when(started, "start").when(finished, "finish").otherwise("other").alias("kind"))
+        task, "event_id", "ts", F.when(started, "start").when(finished, "finish").otherwise("other").alias("_kind"))
 
-    def watch(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun = state.get[0] if state.exists else None
+    def watch(kept: tuple | None, rows: list[tuple], mark: int) -> tuple:
+        begun = kept[0] if kept else None
         out = []
-        if state.hasTimedOut:
-            if begun is not None:
-                out.append((key[0], begun, begun + limit_seconds))
-            state.remove()
-        else:
-            rows = _times(pdfs)
-            for kind, t in zip(rows["kind"], rows["_t"]):
-                if begun is not None and t > begun + limit_seconds:
-                    out.append((key[0], begun, begun + limit_seconds))
-                    begun = None
-                if kind == "start" and begun is None:
-                    begun = t
-                elif kind == "finish":
-                    begun = None
-            if begun is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((float(begun),))
-                due = int((begun + limit_seconds) * 1000) + 1
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["task", "started_at", "deadline"])
-
-    return kinds.groupBy(task).applyInPandasWithState(
-        watch, "task bigint, started_at double, deadline double", "begun double", "append", GroupStateTimeout.EventTimeTimeout)
+        for _, t, kind in rows:
+            if begun is not None and t > begun + limit_seconds:
+                out.append((begun, begun + limit_seconds))
+                begun = None
+            if kind == "start" and begun is None:
+                begun = t
+            elif kind == "finish":
+                begun = None
+        if begun is None:
+            return out, None, None
+        return out, (float(begun),), max(int((begun + limit_seconds) * 1000) + 1, mark + 1)
+
+    return _keyed(kinds, {task: "task bigint"}, ["_kind"], watch, "started_at double, deadline double", ["double"],
+                  lambda kept, _: ([(kept[0], kept[0] + limit_seconds)], None, None))
 
 
 def expiring_violations(violations: DataFrame, key: str, keep_seconds: float = 3600, delay: str = "10 minutes") -> DataFrame:
     """violation, state, at: 'active' when first seen, repeats ignored while active, 'resolved' after `keep_seconds`."""
     rows = violations.withWatermark("ts", delay).select(key, "event_id", "ts")
 
-    def track(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else None
+    def track(kept: tuple | None, rows: list[tuple], mark: int) -> tuple:
+        since = kept[0] if kept else None
         out = []
-        if state.hasTimedOut:
-            if since is not None:
-                out.append((name[0], "resolved", since + keep_seconds))
-            state.remove()
-        else:
-            for t in _times(pdfs)["_t"]:
-                if since is not None and t > since + keep_seconds:
-                    out.append((name[0], "resolved", since + keep_seconds))
-                    since = None
-                if since is None:
-                    since = t
-                    out.append((name[0], "active", t))
-            state.update((float(since),))
-            state.setTimeoutTimestamp(max(int((since + keep_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["violation", "state", "at"])
+        for _, t in rows:
+            if since is not None and t > since + keep_seconds:
+                out.append(("resolved", since + keep_seconds))
+                since = None
+            if since is None:
+                since = t
+                out.append(("active", t))
+        return out, (float(since),), max(int((since + keep_seconds) * 1000) + 1, mark + 1)
 
-    return rows.groupBy(key).applyInPandasWithState(
-        track, "violation bigint, state string, at double", "since double", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed(rows, {key: "violation bigint"}, [], track, "state string, at double", ["double"],
+                  lambda kept, _: ([("resolved", kept[0] + keep_seconds)], None, None))
 
 
 def run_estimates(stream: DataFrame, by: str, runtime: str, keep: float = 0.7, chunk_seconds: int = 3600, label: str = "estimates") -> str:
@@ -263,51 +301,33 @@ def repeated_events(events: DataFrame, keys: Sequence[str], keep_seconds: float
     State is the count and the time of the last event of a key; it goes when the watermark
     has passed that time by `keep_seconds`.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    kinds = dict(events.dtypes)
     rows = events.withWatermark("ts", delay).select(*keys, "event_id", "ts")
 
-    def track(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, 0.0)
+    def track(kept: tuple | None, rows: list[tuple], mark: int) -> tuple:
+        n, last = kept or (0, 0.0)
         out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            rows = _times(pdfs)
-            for event_id, t in zip(rows["event_id"], rows["_t"]):
-                n = n + 1 if n and t - last <= keep_seconds else 1
-                last = max(last, t)
-                if n > 1:
-                    out.append((*name, event_id, n))
-            state.update((int(n), float(last)))
-            state.setTimeoutTimestamp(max(int((last + keep_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[*keys, "event_id", "n"])
+        for event_id, t in rows:
+            n = n + 1 if n and t - last <= keep_seconds else 1
+            last = max(last, t)
+            if n > 1:
+                out.append((event_id, n))
+        return out, (int(n), float(last)), max(int((last + keep_seconds) * 1000) + 1, mark + 1)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return rows.groupBy(*keys).applyInPandasWithState(
-        track, f"{schema}, event_id {kinds['event_id']}, n bigint", "n bigint, last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed(rows, {k: f"{k} {kinds[k]}" for k in keys}, [], track, f"event_id {kinds['event_id']}, n bigint", ["bigint", "double"],
+                  lambda *_: ([], None, None))
 
 
 def due_retries(retries: DataFrame, task: str, due: str, delay: str = "0 seconds") -> DataFrame:
     """task, due: each scheduled retry, emitted when event time has passed its due time (epoch seconds)."""
     rows = retries.withWatermark("ts", delay).select(task, "event_id", "ts", F.col(due).cast("double").alias("_due"))
 
-    def hold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                waiting += pdf["_due"].tolist()
-        mark = state.getCurrentWatermarkMs() / 1000
-        ready = sorted(d for d in waiting if d <= mark)
-        waiting = sorted(d for d in waiting if d > mark)
-        if waiting:
-            state.update((waiting,))
-            state.setTimeoutTimestamp(int(waiting[0] * 1000) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], d) for d in ready], columns=["task", "due"])
-
-    return rows.groupBy(task).applyInPandasWithState(
-        hold, "task bigint, due double", "waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    def hold(kept: tuple | None, rows: list[tuple], mark: int) -> tuple:
+        waiting = sorted([*(kept[0] if kept else ()), *[r[-1] for r in rows]])
+        ready, waiting = [d for d in waiting if d <= mark / 1000], [d for d in waiting if d > mark / 1000]
+        return [(d,) for d in ready], (waiting,) if waiting else None, int(waiting[0] * 1000) + 1 if waiting else None
+
+    return _keyed(rows, {task: "task bigint"}, ["_due"], hold, "due double", ["array<double>"], lambda kept, mark: hold(kept, [], mark))
 
 
 # ---- quality per micro-batch ----
