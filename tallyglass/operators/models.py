@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml import Pipeline, PipelineModel
+import math
+from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.functions.expressions import dbl, numeric_columns, one
@@ -18,6 +24,9 @@ from tallyglass.operators.sampling import random_split, stratified_folds
 from tallyglass.session import cut_lineage
 
 MODELS = ("decision_tree", "random_forest", "gradient_boosting", "logistic_regression", "naive_bayes", "svm")
+FOLD_ROWS, FOLD_SHARE, FOLD_CELLS = 100_000, 8, 2 ** 17          # trees learn by cells from so many rows, with so many rows a cell and at most so many cells
+FOLDABLE = {"maxBins", "maxDepth", "maxIter", "numTrees", "stepSize", "impurity", "minInfoGain"}          # parameters that do not ask for single rows
+FIT_THREADS = 8
 
 
 def make_classifier(name: str, classes: int = 2, seed: int = 42, **params):
@@ -37,21 +46,94 @@ def make_classifier(name: str, classes: int = 2, seed: int = 42, **params):
         base = LinearSVC(**common, **params)
     else:
         raise ValueError(f"unknown model: {name}")
-    return base if classes == 2 else OneVsRest(classifier=base, featuresCol="features", labelCol="label_index")
+    weight = {"weightCol": params["weightCol"]} if "weightCol" in params else {}
+    return base if classes == 2 else OneVsRest(classifier=base, featuresCol="features", labelCol="label_index", **weight)
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], label: str, name: str, seed: int = 42, **params) -> PipelineModel:
-    """Label index, feature vector and classifier as one fitted pipeline."""
+    """Label index, feature vector and classifier as one fitted pipeline; trees learn large tables of few features by cells (`_fit_cells`)."""
     classes = train.select(label).distinct().count()
+    bins = params.get("maxBins", 32)
+    cells = bins ** len(features) * classes
+    if name in ("decision_tree", "random_forest", "gradient_boosting") and set(params) <= FOLDABLE and cells <= FOLD_CELLS and set(features) <= set(numeric_columns(train)):
+        if train.count() >= max(FOLD_ROWS, FOLD_SHARE * cells):
+            return _fit_cells(train, features, label, name, classes, bins, seed, **params)
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return Pipeline(stages=[indexer, assembler, make_classifier(name, classes, seed, **params)]).fit(train)
 
 
+def _fit_cells(train: DataFrame, features: Sequence[str], label: str, name: str, classes: int, bins: int, seed: int, **params) -> PipelineModel:
+    """Trees on counted cells of `bins` quantile bins a feature: only the count walks the rows, depths, trees and rounds walk the cells.
+
+    Trees split between bins alone, so rows of one cell and class always stay together and
+    their number as weight gives the sums of all rows.  Quantiles come from sketches of all rows.
+    """
+    indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
+    names = [f"_bin_{c}" for c in features]
+    quantiles = train.approxQuantile(list(features), [i / bins for i in range(bins)], 1 / (32 * bins))
+    splits = []
+    for found in quantiles:
+        known = sorted({q for q in found if math.isfinite(q)})
+        splits.append([-math.inf, *(known[1:] or known or [0.0]), math.inf])          # nothing lies below the least
+    binned = Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=names, handleInvalid="error")
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    counted = binned.transform(indexer.transform(train)).groupBy(*names, "label_index").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    ordered = [F.col(c).alias(c, metadata={"ml_attr": {"type": "numeric"}}) for c in names]          # bins are no categories: trees cut them in order
+    cells = assembler.transform(counted.select(*ordered, "label_index", "weight"))
+    cells = cut_lineage(cells.repartition(math.ceil(bins ** len(features) * classes / 20_000), *names).sortWithinPartitions(*names, "label_index"))
+    if name == "random_forest":
+        model = _fit_forest(cells, names, [len(s) - 1 for s in splits], assembler, classes, seed, **params)
+    else:
+        model = make_classifier(name, classes, seed, weightCol="weight", **params).fit(cells)
+    return PipelineModel(stages=[indexer, binned, assembler, model])
+
+
+class CellPredictions(Transformer):
+    """The prediction of every combination of bins, joined to rows by their bins."""
+
+    def __init__(self, table: DataFrame, names: list[str]):
+        super().__init__()
+        self.table, self.names = table, names
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self.table), self.names)          # at most FOLD_CELLS rows
+
+
+def _fit_forest(cells: DataFrame, names: list[str], sizes: list[int], assembler: VectorAssembler, classes: int, seed: int, numTrees: int = 100, **params) -> CellPredictions:
+    """Random forest on counted cells. Each row counts Poisson(1) times for each tree, so a cell of n rows counts Poisson(n) times."""
+    weights = [f"_w{t}" for t in range(numTrees)]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = pdf[[*names, "label_index"]].astype(int).to_numpy()
+            drawn = [np.random.default_rng([seed, *key]).poisson(n, numTrees).astype(float) for key, n in zip(keys, pdf["weight"])]
+            yield pd.concat([pdf, pd.DataFrame(drawn, columns=weights, index=pdf.index)], axis=1)
+    plain = cells.select(*names, "label_index", "weight")
+    drawn = assembler.transform(plain.mapInPandas(draw, ", ".join(f"`{c}` double" for c in [*plain.columns, *weights]))).cache()
+    one_tree = RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=1, bootstrap=False,
+                                      featureSubsetStrategy="sqrt" if numTrees > 1 else "all", **params)
+    fits = one_tree.fitMultiple(drawn, [{one_tree.weightCol: w, one_tree.seed: seed + t} for t, w in enumerate(weights)])
+    with ThreadPool(FIT_THREADS) as pool:
+        trees = [m for _, m in sorted(pool.map(inheritable_thread_target(cells.sparkSession)(lambda _: next(fits)), weights, chunksize=1), key=lambda f: f[0])]
+    drawn.unpersist()
+    grid, step = [], 1
+    for c, n in zip(names, sizes):
+        grid.append((F.floor(F.col("id") / step) % n).cast("double").alias(c))
+        step *= n
+    every = assembler.transform(cells.sparkSession.range(0, step, 1, 1).select(*grid))
+    votes = None
+    for tree in trees:
+        piece = tree.transform(every).select(*names, vector_to_array("probability").alias("_p"))
+        votes = piece if votes is None else votes.unionAll(piece)
+    shares = votes.groupBy(*names).agg(F.array(*[F.sum(F.element_at("_p", i + 1)) for i in range(classes)]).alias("_p"))
+    return CellPredictions(cut_lineage(shares.select(*names, (F.array_position("_p", F.array_max("_p")) - 1).cast("double").alias("prediction"))), names)
+
+
 def predict(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
     """Adds prediction as a class value of the training data; labels unseen in training need no index here."""
     names = F.array(*[F.lit(v) for v in model.stages[0].labels])
-    scored = PipelineModel(stages=model.stages[1:]).transform(df)
+    scored = PipelineModel(stages=model.stages[1:]).transform(df).drop(*[c for s in model.stages if isinstance(s, Bucketizer) for c in s.getOutputCols()])
     value = F.element_at(names, F.col("prediction").cast("int") + 1)
     return scored.withColumn("prediction", value.cast(dict(df.dtypes)[label]))
 

@@ -156,7 +156,7 @@ FEATURES = ["l_quantity", "l_extendedprice"]
 
 
 def fitted(spark, d, *names, **params):
-    data = S.group_split(labelled(spark, d), "l_orderkey").cache()
+    data = S.group_split(labelled(spark, d), "l_orderkey").select(*FEATURES, "label", "part").cache()          # no more than the models read
     train, test = data.where(F.col("part") == "train"), data.where(F.col("part") == "test")
     out = None
     for n in names:
