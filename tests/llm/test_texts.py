@@ -1,7 +1,7 @@
 """Text operators on messy rows and whole small tables, against plain versions and the tokenizer libraries."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -253,6 +253,18 @@ def test_frequent_pretokens_come_from_all_files(spark):
     assert {" only", " kind"} <= set(made)
 
 
+def test_frequent_pretokens_are_counted_over_all_documents(spark, monkeypatch):
+    r, kept, library = np.random.RandomState(7), [], tokenizer("byte_bpe_50k.json")
+    rows = [(" ".join(f"w{i}x" for i in r.zipf(1.3, 12) % 3000) + " É ƛ"[:2 * (k % 3)] + "q" * (k % 70),) for k in range(2500)] + [(None,), ("",)]
+    whole = token_counts.frequent_lengths
+    monkeypatch.setattr(token_counts, "frequent_lengths", lambda *a: kept.append(whole(*a)) or kept[0])
+    monkeypatch.setattr(token_counts, "HELD", 50)
+    assert token_counts.token_counts(spark.createDataFrame(rows, "text string").withColumn("doc_id", F.lit(1)).repartition(6), table_size=200).count() == len(rows)
+    seen = Counter(t for text, in rows for t in token_counts.regex.findall(token_counts.PATTERN, text or "") if len(t) <= 64)
+    want = sorted(seen, key=lambda t: (-seen[t], t.encode()))[:200]
+    assert kept == [(want, [len(library.encode(t, add_special_tokens=False).ids) for t in want])]
+
+
 def test_frequent_table_is_exact():
     table = token_counts.FrequentLengths(["a", " b", "c"], [1, 2, 3])
     assert [table.get(t) for t in ("a", " b", "c", "d")] == [1, 2, 3, 0]
