@@ -64,6 +64,13 @@ def test_reader_comments_are_no_articles():
     assert lines_of(f"<article>{text}</article><article class='comment'>{said}</article><article class='teaser'>{said}</article>") == body
 
 
+def test_main_text_beside_an_article_is_found_by_the_distribution():
+    inside, gap = "".join(f"<p>{paragraph(i)}</p>" for i in range(1, 5)), "<nav>x</nav>" * 4
+    body = [paragraph(i) for i in range(1, 5)]
+    assert lines_of(f"<article>{inside}</article>{gap}<div><p>{paragraph(5)}</p><p>{paragraph(6)}</p></div>") == [*body, paragraph(5), paragraph(6)]
+    assert lines_of(f"<div><h1>Title</h1><p>{paragraph(0)}</p></div><article>{inside}{gap}<p>End.</p></article>{gap}<p>Imprint</p>") == ["Title", paragraph(0), *body, "End."]
+
+
 class Tree(HTMLParser):
     """Plain version: elements are kept as (name, attributes, children); text is a string."""
 
