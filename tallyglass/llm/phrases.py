@@ -10,7 +10,8 @@ dropped, for parts of a candidate are never rarer than the candidate. A candidat
 are looked up by composing an automaton of the parts asked for with the range's counts.
 
 Scale. A task holds one shard or one range. Ranges are cut at words of a bounded sample of
-the shards' own phrases, so a hot first word is cut by its second; the cuts, at most
+the shards' own phrases, which begins at another place in every shard, so that alike shards
+do not all name the same words; a hot first word is cut by its second; the cuts, at most
 `MOST_RANGES` pairs of at most `CUT_BYTES` bytes each, are all that is broadcast. They
 decide about balance only, never about counts. Long texts are cut at blanks, with the words
 before the cut as context.
@@ -18,6 +19,7 @@ before the cut as context.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -26,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyglass.llm.common import give_back, keep_table, only
+from tallyglass.llm.common import give_back, keep_table, only, slices
 
 WIDTH, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 700_000, 1 << 16
+SHARD_BYTES, RANGE_ENTRIES, MARK = 4_000_000, 700_000, 1 << 13
 MOST_RANGES, MOST_MARKS, CUT_BYTES = 1 << 16, 1 << 19, 32
 STATES = 1 << 15
 STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -74,13 +76,13 @@ class Sorted:
             at = parent[at]
         return list(zip(*reversed(columns)))
 
-    def marks(self, step: int) -> list[tuple[bytes, bytes]]:
-        """(first, second word) of every `step`-th entry."""
+    def marks(self, step: int, start: int) -> list[tuple[bytes, bytes]]:
+        """(first, second word) of every `step`-th entry from `start` on."""
         if len(self.levels) < 2 or not len(self.levels[1][0]):
             return []
         label, parent, _ = self.levels[1]
         longer = np.bincount(self.levels[2][1], minlength=len(label)) if len(self.levels) > 2 else 0
-        at = np.searchsorted(np.cumsum(1 + longer), np.arange(step // 2, int(len(label) + np.sum(longer)), step))
+        at = np.searchsorted(np.cumsum(1 + longer), np.arange(start, int(len(label) + np.sum(longer)), step))
         return [(self.words[parent[i]][:CUT_BYTES], self.words[label[i]][:CUT_BYTES]) for i in at[at < len(label)]]
 
     def cut(self, cuts: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, Sorted]]:
@@ -293,11 +295,12 @@ def shards(docs: DataFrame, width: int = WIDTH, size: int = SHARD_BYTES) -> Data
                 n, found = count(tokens, context, width)
                 tokens.clear()                                     # the automaton needs no texts
                 if found.words:
-                    marks = [{"one": a, "two": b} for a, b in found.marks(MARK)]
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [n], "entries": [found.entries()], "marks": [marks], "blob": [Automaton.of(found).pack()]}, schema=schema)
+                    blob = Automaton.of(found).pack()
+                    marks = [{"one": a, "two": b} for a, b in found.marks(MARK, zlib.crc32(blob) % MARK)]
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [n], "entries": [found.entries()], "marks": [marks], "blob": [blob]}, schema=schema)
                 del found
                 give_back()
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass").lower().translate(TO_STOPS).replace(b".", b" . ")
                 held[lang].append(data)

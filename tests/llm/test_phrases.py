@@ -115,3 +115,19 @@ def test_cut_and_unite_lose_nothing():
     whole = phrases.Automaton.of(phrases.unite(phrases.Automaton.of(f).unfold() for f in found))
     for length, weights in enumerate(whole.weights(asked), 1):
         assert [want[p] for p in asked.phrases(length)] == weights.tolist()
+
+
+def test_ranges_of_many_alike_shards_are_even(spark, monkeypatch):
+    """No range holds much more than it should, however many shards name their marks."""
+    monkeypatch.setattr(phrases, "MARK", 128)
+    r = np.random.RandomState(5)
+    rows = [("en", " ".join(f"w{i}" for i in r.zipf(1.2, 1500) % 900)) for _ in range(100)]
+    counted = phrases.shards(spark.createDataFrame(rows, "lang string, text string").repartition(4), size=6000)
+    held = counted.collect()
+    spark.createDataFrame(held, counted.schema).createOrReplaceTempView("alike_shards")
+    cuts = phrases.cuts_of(spark.table("alike_shards"), 6000)
+    sizes = Counter()
+    for row in held:
+        for number, part in phrases.Automaton.unpack(row["blob"]).unfold().cut([c[1:] for c in cuts]):
+            sizes[number] += part.entries()
+    assert len(held) > 60 and len(sizes) > 20 and max(sizes.values()) < 2 * 6000
