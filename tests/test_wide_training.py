@@ -22,3 +22,12 @@ def test_expanded_rows_lie_in_parts_of_bounded_size(spark, monkeypatch):
     sizes = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 10 and max(sizes) <= 130
     assert machine.score(df).where("prediction = k").count() > 800
+
+
+def test_kept_rows_are_not_expanded(spark, monkeypatch):
+    made, plain = [], kernels.cut_lineage
+    monkeypatch.setattr(kernels, "cut_lineage", lambda df: made.append(plain(df)) or made[-1])
+    df = spark.range(300).selectExpr("id", "CAST(id % 10 AS DECIMAL(5, 1)) AS label", "0 AS fold", "CAST(id % 10 > 4 AS INT) AS k")
+    machine = kernels.kernel_machine(df, ["label", "fold"], "k", ["id"], components=16, max_iter=5, folds=2)
+    assert made and all(t in ("double", "int", "bigint") for df in made for _, t in df.dtypes)
+    assert machine.features.getInputCols() == ["label", "fold"] and machine.score(df).where("prediction = k").count() > 240
